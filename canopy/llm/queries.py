@@ -39,9 +39,57 @@ FROM m GROUP BY doc_id
 """
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from canopy.llm.exact_dedup import exact_dedup
+
+    return exact_dedup(_table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+WITH t AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY norm)
+"""
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from canopy.llm.decontaminate import decontaminate
+
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("clean_text")
+
+
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from canopy.llm.near_dedup import near_dedup
+
+    return near_dedup(_table(spark, sf_dir, "documents"))
+
+
+def _vocabulary(name: str) -> bytes:
+    """A public tokenizer's file, read by the driver; executors get its bytes."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from canopy.llm.token_files import read_tokens, write_tokens
+
+    segments, lengths = write_tokens(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    return read_tokens(segments, lengths).drop("ids")
+
+
 def queries() -> dict:
-    return {"op1_line_dedup": op1_line_dedup}
+    return {
+        "op1_line_dedup": op1_line_dedup,
+        "op5_exact_dedup": op5_exact_dedup,
+        "op6_decontaminate": op6_decontaminate,
+        "op8_near_dedup": op8_near_dedup,
+        "op9_token_files": op9_token_files,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op5_exact_dedup": OP5_SQL}
