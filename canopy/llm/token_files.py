@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopy.functions.storage import settle
-from canopy.llm.common import column, slices
+from canopy.llm.common import Memo, column, slices
 
 #: Longest code in bits; the decoding table has 2**LIMIT entries.
 LIMIT = 18
 #: Ids between two checkpoints.
 BLOCK = 256
 MAGIC = b"CNPYSEG1"
-#: Entries of a worker's cache of encoded chunks; it starts anew when full.
+#: Encoded chunks that a worker remembers.
 CACHE = 400_000
 #: A chunk is a run of ASCII blanks and what follows up to the next blank.
 _CHUNK = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
@@ -51,54 +51,26 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_buffer(tokenizer_json)
         self.tokenizer.encode_special_tokens = specials_as_text
         self.end_id = end_id
-        self._reset()
-
-    def _reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.parts: list[np.ndarray] = []
-        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.memo = Memo(self._learn, CACHE, np.uint32)
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: list[str]) -> tuple[list, np.ndarray]:
         got = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        ids = [e.ids for e in got]
-        for chunk in new:
-            self.known[chunk] = len(self.known)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
+        return [e.ids for e in got], np.zeros((0, len(new)))
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, with the end id."""
-        out: list[np.ndarray | None] = [None] * len(texts)
-        chunked = []
-        for i, text in enumerate(texts):
-            if not text.isascii() and _WIDE_BLANK.search(text):
-                out[i] = np.array([*self.whole(text), self.end_id], np.uint32)
-            else:
-                chunked.append((i, _CHUNK.findall(text)))
-        if len(self.known) > CACHE:
-            self._reset()
-        get = self.known.get
-        new = {c for _, chunks in chunked for c in chunks if get(c) is None}
-        if new:
-            self._learn(list(new))
-        if not chunked:
-            return out
-        index = np.fromiter((get(c) for _, chunks in chunked for c in chunks), np.int64)
-        sizes = self.sizes[index]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.starts[index] - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
-        at = done = 0
-        for i, chunks in chunked:
-            done += len(chunks)
-            to = int(ends[done - 1]) if done else 0
-            own = np.empty(to - at + 1, np.uint32)
-            own[:-1], own[-1] = ids[at:to], self.end_id
-            out[i], at = own, to
+        odd = {i for i, t in enumerate(texts) if not t.isascii() and _WIDE_BLANK.search(t)}
+        chunks = [[] if i in odd else _CHUNK.findall(t) for i, t in enumerate(texts)]
+        index = self.memo.index(chunks)
+        ids = self.memo.runs(index)
+        stops = np.append(0, np.cumsum(self.memo.sizes[index]))[np.append(0, np.cumsum([len(c) for c in chunks]))]
+        out = []
+        for i, (at, to) in enumerate(zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)):
+            own = ids[at:to] if i not in odd else np.array(self.whole(texts[i]), np.uint32)
+            out.append(np.append(own, np.uint32(self.end_id)))
         return out
 
 
