@@ -81,13 +81,35 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(segments, lengths).drop("ids")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from canopy.llm.language_id import language_id
+
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
+def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from canopy.llm.sentence_pieces import encode
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode(docs, _vocabulary("piece_bpe_32k.model")).drop("text", "ids")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from canopy.llm.token_counts import token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_language_id": op2_language_id,
+        "op4_sentence_pieces": op4_sentence_pieces,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_decontaminate": op6_decontaminate,
         "op8_near_dedup": op8_near_dedup,
         "op9_token_files": op9_token_files,
+        "op10_token_counts": op10_token_counts,
     }
 
 
