@@ -87,6 +87,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_table(spark, sf_dir, "documents"))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from canopy.llm.personal_data import personal_data
+
+    return personal_data(_table(spark, sf_dir, "documents")).drop("scored")
+
+
 def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from canopy.llm.sentence_pieces import encode
 
@@ -104,6 +110,7 @@ def queries() -> dict:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op2_language_id": op2_language_id,
+        "op3_personal_data": op3_personal_data,
         "op4_sentence_pieces": op4_sentence_pieces,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_decontaminate": op6_decontaminate,
