@@ -15,6 +15,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from canopy.functions.storage import settle
 from canopy.llm.common import as_bytes, column, slices
@@ -154,9 +155,6 @@ def blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tu
         yield block
 
 
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("hit", pa.binary()), ("items", pa.list_(pa.string()))])
-
-
 def _scan(shared, window):
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = ItemAutomaton(pickle.loads(shared.value), window)
@@ -169,13 +167,14 @@ def _scan(shared, window):
                     hit = (int.from_bytes(hit, "big") | int.from_bytes(old, "big")).to_bytes(len(old), "big")
                 hits.append(bytes(hit) if hit else old)
                 items.append(sorted(found.union(names or ())) or None)
-            yield pa.record_batch([column(b, "doc_id"), column(b, "text").cast(pa.string()), pa.array(hits, pa.binary()), pa.array(items, _SCHEMA.field("items").type)], schema=_SCHEMA)
+            found = {"hit": pa.array(hits, pa.binary()), "items": pa.array(items, pa.list_(pa.string()))}
+            yield pa.RecordBatch.from_arrays([found.get(n, c) for n, c in zip(b.schema.names, b.columns, strict=True)], names=b.schema.names)
 
     return work
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, text, hit, items), a row per row of ``docs``.
+def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, hit, items) and the columns ``keep``, a row per row of ``docs``.
 
     ``hit`` has a byte per word, 1 inside an occurrence of a window, or is null
     if there is none; ``items`` are the ids of the items that occur.  A window is
@@ -184,11 +183,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_wo
     of items is held at a time; each further block is one more pass.
     """
     spark = docs.sparkSession
-    out = docs.select("doc_id", "text", F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<string>").alias("items"))
+    out = docs.select("doc_id", "text", F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<string>").alias("items"), *keep)
     for n, block in enumerate(blocks(items, block_words)):
         out = settle(out, "leaks") if n else out
         shared = spark.sparkContext.broadcast(pickle.dumps(block))
-        out = out.mapInArrow(_scan(shared, window), "doc_id long, text string, hit binary, items array<string>")
+        out = out.mapInArrow(_scan(shared, window), out.schema)
     return out
 
 
@@ -208,7 +207,7 @@ def without_hits(text: bytes, hit: bytes) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def _report(max_coverage):
+def _report(max_coverage, keep):
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             rows = []
@@ -218,19 +217,22 @@ def _report(max_coverage):
                 clean = None if over or raw else without_hits(text, hit) if hit else text
                 rows.append((n, n_hit, len(items or ()), hashlib.sha256(",".join(items or ()).encode()).hexdigest(), n_hit > 0, clean.decode() if clean is not None else None))
             cols = [list(c) for c in zip(*rows, strict=True)] or [[]] * 6
-            yield pa.record_batch([column(b, "doc_id"), *(pa.array(c, _RESULT.field(i + 1).type) for i, c in enumerate(cols))], schema=_RESULT)
+            made = [pa.array(c, _RESULT.field(i + 1).type) for i, c in enumerate(cols)]
+            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), *made, *(column(b, k) for k in keep)], names=[*_RESULT.names, *keep])
 
     return work
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float | None = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
+def decontaminate(
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float | None = 0.5, block_words: int = BLOCK_WORDS, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Report and remove benchmark passages.
 
     Returns (doc_id, n_words, n_hit, n_items, items_sha256, contaminated,
-    clean_text), a row per row of ``docs``.  ``clean_text`` lacks the spans of
-    hit words; it is null if the text is null or if more than ``max_coverage`` of its words are
-    hit, in which case the document should go.
+    clean_text) and the columns ``keep``, a row per row of ``docs``.  ``clean_text``
+    lacks the spans of hit words; it is null if the text is null or if more than
+    ``max_coverage`` of its words are hit, in which case the document should go.
     """
-    return find_leaks(docs, items, window, block_words).mapInArrow(
-        _report(max_coverage), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, clean_text string"
-    )
+    made = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, clean_text string"
+    schema = StructType([*StructType.fromDDL(made).fields, *(docs.schema[k] for k in keep)])
+    return find_leaks(docs, items, window, block_words, keep).mapInArrow(_report(max_coverage, keep), schema)

@@ -81,16 +81,17 @@ def _keep(lines: Column, dropped: Column) -> Column:
     return F.filter(lines, stays)
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
     """Drop lines that many documents share.
 
-    Returns (doc_id, n_lines, n_dropped, kept_text), a row per row of ``docs``.
+    Returns (doc_id, n_lines, n_dropped, kept_text) and the columns ``keep``, a
+    row per row of ``docs``.
     Text is split at \\n; a null or empty text is one empty line.  Keys are
     lines without blanks at both ends and with A-Z lower-cased; keys under
     ``min_chars`` code points always stay.  Repeats of a line inside the
     document that keeps it stay.  Rows that share a doc_id count as one document.
     """
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *keep)
     marks = dropped_bitmaps(base, min_chars, min_docs)
     both = key_join(base.select("*", document_key()[1]), marks)
     lines = F.split("text", "\n", -1)
@@ -103,4 +104,5 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataF
         F.size(lines).cast("long").alias("n_lines"),
         F.coalesce(gone, F.lit(0)).cast("long").alias("n_dropped"),
         kept.alias("kept_text"),
+        *keep,
     )
