@@ -18,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopy.functions.storage import settle
@@ -29,7 +29,6 @@ from canopy.operators.graph import components
 BLOCK = 2048
 MAX_BITS = 4
 PLACES = list(combinations(range(8), 4))
-MASKS = [sum(0xFF << (8 * p) for p in places) for places in PLACES]
 #: For each set of equal byte positions, the list that owns a pair, or -1 if under four are equal.
 OWNER = np.array(
     [PLACES.index(tuple(same[:4])) if len(same) >= 4 else -1 for m in range(256) for same in [[p for p in range(8) if m >> p & 1]]], np.int16
@@ -141,6 +140,15 @@ def _link_lists(max_bits: int):
     return work
 
 
+def _list_key(place: int) -> Column:
+    """The number of four byte positions and the bytes there, in one number."""
+    out = F.lit(place << 32)
+    for j, p in enumerate(PLACES[place]):
+        byte = F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(0xFF).cast("long"))
+        out = out.bitwiseOR(F.shiftleft(byte, 8 * j))
+    return out.cast("long")
+
+
 def links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
     """Links (u, v) between distinct fingerprints (column ``fp``) that keep every component whole.
 
@@ -150,14 +158,13 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataF
     """
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError("the count filter guarantees four shared bytes for up to 4 bits only")
-    signed = [m - (1 << 64) if m >> 63 else m for m in MASKS]
-    entries = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("place", "key"))
-    entries = entries.select(F.col("place").cast("short").alias("place"), "key", "fp")
-    long_lists = settle(entries.groupBy("place", "key").agg(F.count("*").alias("n")).where("n > 1"), "lists")
-    met = entries.join(long_lists, ["place", "key"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    entries = fps.select("fp", F.explode(F.array(*[_list_key(k) for k in range(len(PLACES))])).alias("key"))
+    long_lists = settle(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "lists")
+    met = entries.join(long_lists.hint("merge"), "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     met = met.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = met.select("place", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp")
+    place = F.shiftrightunsigned("key", 32).cast("short").alias("place")
+    dealt = met.select(place, "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp")
     cut = ["place", "key", "lo", "hi"]
     ordered = dealt.repartition(*cut).sortWithinPartitions(*cut, "fp")
     return ordered.mapInArrow(_link_lists(max_bits), "u long, v long")
