@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Most bytes of text that one worker holds as Python objects at a time.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 
 
 def document_key() -> list[Column]:
@@ -59,41 +59,48 @@ def with_fields(schema: StructType, ddl: str) -> StructType:
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
 
 
+class _Places(dict):
+    """Gives each string that it has not met the next place."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = place = len(self)
+        self.new.append(key)
+        return place
+
+
 class Memo:
     """Remembers what a function gives for strings: a run of integers and some numbers each.
 
-    When more than ``limit`` strings are known, the half that was used most stays.
+    When more than ``limit`` strings are known, two thirds of the limit stay, those used most.
     It only saves work; results do not depend on what is known.
     """
 
     def __init__(self, learn: Callable[[list[str]], tuple[list, np.ndarray]], limit: int, dtype: type, extras: int = 0):
         self.learn, self.limit = learn, limit
-        self.known: dict[str, int] = {}
+        self.known = _Places()
         self.flat, self.starts, self.sizes = np.zeros(0, dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.extra, self.uses = np.zeros((extras, 0)), np.zeros(0, np.int64)
 
     def _trim(self) -> None:
-        kept = np.sort(np.argsort(-self.uses, kind="stable")[: self.limit // 2])
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[: self.limit * 2 // 3])
         self.flat, self.sizes, old = self.runs(kept), self.sizes[kept], list(self.known)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.extra, self.uses = self.extra[:, kept], self.uses[kept] // 2
-        self.known = {old[i]: n for n, i in enumerate(kept.tolist())}
+        self.known = _Places({old[i]: n for n, i in enumerate(kept.tolist())})
 
     def index(self, lists: list[list[str]]) -> np.ndarray:
         """Places of all strings of all lists, in order; valid until the next call."""
         if len(self.known) > self.limit:
             self._trim()
-        known = self.known
-        new = [x for x in set(chain.from_iterable(lists)) if x not in known]
+        self.known.new = new = []
+        out = np.fromiter(map(self.known.__getitem__, chain.from_iterable(lists)), np.int64, sum(map(len, lists)))
         if new:
             runs, extra = self.learn(new)
-            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
             sizes = np.fromiter(map(len, runs), np.int64, len(runs))
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
             self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(runs), self.flat.dtype, int(sizes.sum()))])
             self.sizes, self.extra = np.concatenate([self.sizes, sizes]), np.concatenate([self.extra, extra], axis=1)
             self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
-        out = np.fromiter(map(known.__getitem__, chain.from_iterable(lists)), np.int64, sum(map(len, lists)))
         self.uses += np.bincount(out, minlength=len(self.uses))
         return out
 

@@ -14,6 +14,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,10 @@ LIMIT = 18
 BLOCK = 256
 MAGIC = b"CNPYSEG1"
 #: Encoded chunks that a worker remembers.
-CACHE = 400_000
+CACHE = 500_000
+#: Chunks that are encoded as one text.
+JOINED = 2000
+_BLANKS = " \t\n\x0b\x0c\r"
 #: A chunk is a run of ASCII blanks and what follows up to the next blank.
 _CHUNK = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 _WIDE_BLANK = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -51,14 +55,30 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_buffer(tokenizer_json)
         self.tokenizer.encode_special_tokens = specials_as_text
         self.end_id = end_id
+        vocab = self.tokenizer.get_vocab()
+        self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():  # a character of a byte-level token stands for a byte
+            self.n_bytes[i] = len(token)
         self.memo = Memo(self._learn, CACHE, np.uint32)
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, new: list[str]) -> tuple[list, np.ndarray]:
-        got = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        return [e.ids for e in got], np.zeros((0, len(new)))
+        """Chunks that start with a blank and end without are encoded many at a time, then cut apart by their bytes."""
+        runs: list = [None] * len(new)
+        alone = [i for i, c in enumerate(new) if c[0] not in _BLANKS or c[-1] in _BLANKS]
+        for i, e in zip(alone, self.tokenizer.encode_batch_fast([new[i] for i in alone], add_special_tokens=False), strict=True):
+            runs[i] = e.ids
+        joined = [i for i in range(len(new)) if runs[i] is None]
+        groups = [joined[k : k + JOINED] for k in range(0, len(joined), JOINED)]
+        for own, e in zip(groups, self.tokenizer.encode_batch_fast(["".join([new[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+            ids = e.ids
+            ends = np.cumsum(self.n_bytes[ids])
+            stops = np.searchsorted(ends, np.cumsum([len(new[i].encode()) for i in own]), "right").tolist()
+            for i, at, to in zip(own, [0, *stops], stops, strict=False):
+                runs[i] = ids[at:to]
+        return runs, np.zeros((0, len(new)))
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, with the end id."""
@@ -74,19 +94,31 @@ class ChunkEncoder:
         return out
 
 
+@lru_cache(2)
+def _encoder(tokenizer_json: bytes, end_id: int, specials_as_text: bool) -> ChunkEncoder:
+    """One encoder for all tasks of a worker."""
+    return ChunkEncoder(tokenizer_json, end_id, specials_as_text)
+
+
+def _width(raw: bytes, n: int) -> str:
+    """Type of ``n`` ids that an intermediate table holds in two or four bytes each."""
+    return "<u2" if len(raw) == 2 * n else "<u4"
+
+
 def _encode(tokenizer, end_id: int, specials_as_text: bool):
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("doc_id", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.large_binary())])
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer.value, end_id, specials_as_text)
+        encoder = _encoder(tokenizer.value, end_id, specials_as_text)
         part, seq, start = TaskContext.get().partitionId(), 0, 0
+        width = "<u2" if max(len(encoder.n_bytes), end_id + 1) <= 1 << 16 else "<u4"
         for b in slices(batches):
             ids = encoder.encode_all([x or "" for x in column(b, "text").to_pylist()])
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             starts = start + np.cumsum(sizes) - sizes
             yield pa.record_batch(
                 [pa.array(np.full(len(ids), part, np.int32)), pa.array(np.arange(seq, seq + len(ids))), column(b, "doc_id"), pa.array(starts), pa.array(sizes),
-                 pa.array([x.astype("<u4").tobytes() for x in ids], pa.large_binary())], schema=schema,
+                 pa.array([x.astype(width).tobytes() for x in ids], pa.large_binary())], schema=schema,
             )
             seq += len(ids)
             start += int(sizes.sum())
@@ -97,8 +129,8 @@ def _encode(tokenizer, end_id: int, specials_as_text: bool):
 def _tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1, np.int64)
     for b in batches:
-        for raw in column(b, "ids").to_pylist():
-            n = np.bincount(np.frombuffer(raw, "<u4"), minlength=len(total))
+        for raw, size in zip(column(b, "ids").to_pylist(), column(b, "n_tokens").to_pylist(), strict=True):
+            n = np.bincount(np.frombuffer(raw, _width(raw, size)), minlength=len(total))
             n[: len(total)] += total
             total = n
     used = np.flatnonzero(total)
@@ -222,7 +254,8 @@ def _segments(lengths, offsets):
             starts = column(b, "local_start").to_numpy() + np.array([offsets[p] for p in part.tolist()], np.int64)
             sizes = column(b, "n_tokens").to_numpy()
             for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
-                ids = np.frombuffer(b"".join(raw[s:e]), "<u4")
+                own = b"".join(raw[s:e])
+                ids = np.frombuffer(own, _width(own, int(sizes[s:e].sum())))
                 blob = write_segment(code, doc_ids[s:e], has[s:e], starts[s:e], sizes[s:e], ids)
                 yield pa.record_batch([pa.array([int(starts[s])]), pa.array([blob], pa.large_binary())], schema=schema)
 
@@ -239,13 +272,13 @@ def write_tokens(docs: DataFrame, tokenizer_json: bytes, end_id: int = 0, limit:
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(tokenizer_json)
-    ranged = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    ranged = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
     ranged = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     coded = settle(ranged.mapInArrow(_encode(shared, end_id, specials_as_text), "part int, seq long, doc_id long, local_start long, n_tokens long, ids binary"), "ids")
     offsets, total = {}, 0
     for part, n in sorted(map(tuple, coded.groupBy("part").agg(F.sum("n_tokens")).collect())):
         offsets[part], total = total, total + n
-    tally = coded.select("ids").mapInArrow(_tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    tally = coded.select("ids", "n_tokens").mapInArrow(_tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r.id for r in tally), default=0) + 1, np.int64)
     for r in tally:
         counts[r.id] = r.n

@@ -131,11 +131,14 @@ def _finish(points: DataFrame, splits: list[DataFrame], config: Config) -> Index
     """Finish nodes that fit a task.  ``points`` has node_id and ``done`` (nothing left to split)."""
     cols, leaf_size = dims(points), config.leaf_size
 
-    def local(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def local(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         leaf, found = grow(pdf[cols].to_numpy(np.float32), int(key[0]), leaf_size)
-        out = pdf[["id", *cols]].assign(leaf_id=leaf, split_dim=None, split_value=None)
-        made = pd.DataFrame(found, columns=["leaf_id", "split_dim", "split_value"])
-        return pd.concat([out, made], ignore_index=True)[["id", *cols, "leaf_id", "split_dim", "split_value"]].astype({"split_dim": "Int32", "id": "Int64"})
+        n, m = len(pdf), len(found)
+        out = {"id": pd.array([*pdf["id"], *[None] * m], "Int64"), **{c: np.append(pdf[c].to_numpy(np.float32), np.zeros(m, np.float32)) for c in cols}}
+        out["leaf_id"] = np.append(leaf, np.array([f[0] for f in found], np.int64))
+        out["split_dim"] = pd.array([*[None] * n, *(f[1] for f in found)], "Int32")
+        out["split_value"] = np.append(np.zeros(n, np.float32), np.array([f[2] for f in found], np.float32))
+        return pd.DataFrame(out)
 
     schema = ", ".join(["id long", *(f"{c} float" for c in cols), "leaf_id long", "split_dim int", "split_value float"])
     grown = settle(points.where("not done").groupBy("node_id").applyInPandas(local, schema), "grown")
@@ -152,7 +155,13 @@ def build_exact(points: DataFrame, config: Config | None = None, local_points: i
     """The exact index.  Levels above ``local_points`` take a fixed number of aggregations each."""
     config = config or Config(dimensions=len(dims(points)))
     cols = dims(points)
-    cur = settle(points.select("id", *cols, F.lit(root).cast("long").alias("node_id"), F.lit(False).alias("done")), "level")
+    start = points.select("id", *cols, F.lit(root).cast("long").alias("node_id"), F.lit(False).alias("done"))
+    return continue_exact(settle(start, "level"), config, local_points)
+
+
+def continue_exact(cur: DataFrame, config: Config, local_points: int) -> Index:
+    """Split from the nodes that the points are at (node_id; ``done`` if there is nothing to split)."""
+    cols = dims(cur)
     splits: list[DataFrame] = []
     while True:
         wide = widest(cur.where("not done"), ["node_id"])
