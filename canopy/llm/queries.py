@@ -60,6 +60,12 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("clean_text")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from canopy.llm.suffix_dedup import suffix_dedup
+
+    return suffix_dedup(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from canopy.llm.near_dedup import near_dedup
 
@@ -114,6 +120,7 @@ def queries() -> dict:
         "op4_sentence_pieces": op4_sentence_pieces,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_decontaminate": op6_decontaminate,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_near_dedup": op8_near_dedup,
         "op9_token_files": op9_token_files,
         "op10_token_counts": op10_token_counts,
