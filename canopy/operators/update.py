@@ -33,7 +33,7 @@ def _rebuilt(index: Index, points: DataFrame) -> Index:
     near = points.withColumn("top", F.explode(ancestors(F.col("leaf_id")))).join(top, "top", "left_semi")
     moved = settle(near.select("id", *cols, "top"), "moved")
     kept = points.join(points.select("leaf_id").distinct().withColumn("top", F.explode(ancestors(F.col("leaf_id")))).join(top, "top", "left_semi").select("leaf_id").distinct(), "leaf_id", "left_anti")
-    below = nodes.select("node_id").withColumn("top", F.explode(ancestors(F.col("node_id")))).join(top, "top", "left_semi").select("node_id")
+    below = splits.select("node_id").withColumn("top", F.explode(ancestors(F.col("node_id")))).join(top, "top", "left_semi").select("node_id")
     old = splits.join(below, "node_id", "left_anti")
     new = _build_many(moved, cfg)
     rows = settle(kept.select("id", *cols, "leaf_id").unionByName(new.points.select("id", *cols, "leaf_id")), "points")
