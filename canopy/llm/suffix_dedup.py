@@ -28,11 +28,11 @@ from canopy.llm.common import as_bytes, column, document_key, key_join, slices
 LENGTH = 400
 K = 32
 #: Bytes of a document that are searched for anchors at a time.
-PIECE = 1 << 22
+PIECE = 1 << 20
 #: Bytes of stretches in one suffix array.
 SHARD_BYTES = 1 << 20
 #: Different stretches of one anchor that a shard takes.
-SHARD_STRETCHES = 512
+SHARD_STRETCHES = 4096
 _ODD = 0x9E3779B97F4A7C15
 
 
