@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Most bytes of text that one worker holds as Python objects at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: New strings that a memo learns at a time.
+LEARN = 16_384
 
 
 def document_key() -> list[Column]:
@@ -95,12 +97,16 @@ class Memo:
         self.known.new = new = []
         out = np.fromiter(map(self.known.__getitem__, chain.from_iterable(lists)), np.int64, sum(map(len, lists)))
         if new:
-            runs, extra = self.learn(new)
-            sizes = np.fromiter(map(len, runs), np.int64, len(runs))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(runs), self.flat.dtype, int(sizes.sum()))])
-            self.sizes, self.extra = np.concatenate([self.sizes, sizes]), np.concatenate([self.extra, extra], axis=1)
-            self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+            flats, sizes, extras = [self.flat], [], [self.extra]
+            for at in range(0, len(new), LEARN):
+                runs, extra = self.learn(new[at : at + LEARN])
+                sizes.append(np.fromiter(map(len, runs), np.int64, len(runs)))
+                flats.append(np.fromiter(chain.from_iterable(runs), self.flat.dtype, int(sizes[-1].sum())))
+                extras.append(extra)
+            size = np.concatenate(sizes)
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(size) - size])
+            self.flat, self.extra = np.concatenate(flats), np.concatenate(extras, axis=1)
+            self.sizes, self.uses = np.concatenate([self.sizes, size]), np.concatenate([self.uses, np.zeros(len(new), np.int64)])
         self.uses += np.bincount(out, minlength=len(self.uses))
         return out
 

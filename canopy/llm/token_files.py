@@ -31,7 +31,7 @@ LIMIT = 18
 BLOCK = 256
 MAGIC = b"CNPYSEG1"
 #: Encoded chunks that a worker remembers.
-CACHE = 500_000
+CACHE = 800_000
 #: Chunks that are encoded as one text.
 JOINED = 2000
 _BLANKS = " \t\n\x0b\x0c\r"
