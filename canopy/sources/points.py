@@ -80,4 +80,4 @@ def generate(spark: SparkSession, n: int, dimensions: int = 3, low: float = -1e1
 
 def first_points(points: DataFrame, n: int = 10) -> DataFrame:
     """The first points by id, coordinates at four decimals."""
-    return points.orderBy("id").limit(n).select("id", *[F.format_number(c, "0.0000").alias(c) for c in dims(points)])
+    return points.orderBy("id").limit(n).select("id", *[F.format_string("%.4f", c).alias(c) for c in dims(points)])
