@@ -31,9 +31,9 @@ LIMIT = 18
 BLOCK = 256
 MAGIC = b"CNPYSEG1"
 #: Encoded chunks that a worker remembers.
-CACHE = 800_000
+CACHE = 400_000
 #: Chunks that are encoded as one text.
-JOINED = 2000
+JOINED = 50
 _BLANKS = " \t\n\x0b\x0c\r"
 #: A chunk is a run of ASCII blanks and what follows up to the next blank.
 _CHUNK = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
