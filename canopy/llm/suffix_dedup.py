@@ -33,6 +33,8 @@ PIECE = 1 << 20
 SHARD_BYTES = 1 << 20
 #: Different stretches of one anchor that a shard takes.
 SHARD_STRETCHES = 4096
+#: Places whose common prefixes grow together.
+AT_A_TIME = 1 << 18
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -120,7 +122,7 @@ def _induce(s, small, heads, tails, sa, filled):
     n = len(s)
     top = heads.copy()
     lists: list[list[np.ndarray]] = [[] for _ in heads]
-    start = np.array([n - 1])
+    start = np.array([n - 1], np.int32)
     # the last suffix precedes all others of its symbol
     _push(s, start, ~small[start], lists)
     for c in range(len(heads)):
@@ -130,7 +132,7 @@ def _induce(s, small, heads, tails, sa, filled):
             prev = prev[prev >= 0]
             _push(s, prev[~small[prev]], None, lists)
             at += 1
-        own = np.concatenate(lists[c]) if lists[c] else np.zeros(0, np.int64)
+        own = np.concatenate(lists[c]) if lists[c] else np.zeros(0, np.int32)
         sa[top[c] : top[c] + len(own)] = own
         top[c] += len(own)
         prev = filled[c] - 1
@@ -144,7 +146,7 @@ def _induce(s, small, heads, tails, sa, filled):
             prev = prev[prev >= 0]
             _push(s, prev[small[prev]], None, lists)
             at += 1
-        own = np.concatenate(lists[c]) if lists[c] else np.zeros(0, np.int64)
+        own = np.concatenate(lists[c]) if lists[c] else np.zeros(0, np.int32)
         sa[tails[c] - len(own) : tails[c]] = own[::-1]
         larger = sa[heads[c] : top[c]][::-1]
         prev = larger - 1
@@ -167,8 +169,33 @@ def _push(s, positions, mask, lists) -> None:
         lists[s[part[0]]].append(part)
 
 
+def _names(typed: np.ndarray, left: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Names of the substrings from ``left`` to ``stops`` in their order.
+
+    They are compared by symbols and, of equal symbols, by class, the larger-class
+    suffix coming first; an end is below all.  Six symbols of under 1024 are
+    compared at a time, and then only substrings that are equal so far go on.
+    """
+    rank, todo, at, last = np.zeros(len(left), np.int64), np.arange(len(left)), left.copy(), len(typed) - 1
+    while len(todo):
+        key = np.zeros(len(todo), np.int64)
+        for j in range(6):
+            p = at[todo] + j
+            key = (key << 10) | np.where(p < stops[todo], typed[np.minimum(p, last)], 0)
+        order = np.lexsort((key, rank[todo]))
+        todo, old, key = todo[order], rank[todo][order], key[order]
+        group = np.append(True, old[1:] != old[:-1])
+        fresh = group | np.append(True, key[1:] != key[:-1])
+        heads, own = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+        rank[todo] = old + heads[own] - np.flatnonzero(group)[np.cumsum(group) - 1]
+        at[todo] += 6
+        go_on = (np.diff(np.append(heads, len(todo))) > 1) & np.logical_or.reduceat(at[todo] < stops[todo], heads)
+        todo = todo[go_on[own]]
+    return np.unique(rank, return_inverse=True)[1]
+
+
 def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Suffix array of small integers by induced sorting.
+    """Suffix array of integers under 500 by induced sorting.
 
     Suffixes are classified as smaller or larger than their successors; the
     leftmost-smaller substrings are sorted and named; the string of names is
@@ -176,7 +203,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     bucket at a time with array operations.
     """
     n = len(s)
-    s = s.astype(np.int64)
+    s = s.astype(np.int16)  # places are of 32 bits, symbols of 16: a shard's arrays are what a worker holds
     if n < 2:
         return np.arange(n)
     # smaller: s[i] < s[j] for the next different symbol; the end counts as smallest, so the last suffix is larger
@@ -185,24 +212,12 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     upto = np.append(differ, n - 1)
     kind = np.append(s[differ] < s[differ + 1], False)
     sign = np.repeat(kind, np.diff(np.append(-1, upto)))
-    left = np.flatnonzero(sign[1:] & ~sign[:-1]) + 1
+    left = (np.flatnonzero(sign[1:] & ~sign[:-1]) + 1).astype(np.int32)
     counts = np.bincount(s)
     tails = np.cumsum(counts)
     heads = tails - counts
     if len(left):
-        # names: substrings from one leftmost-smaller place to the next, compared by symbols and, of equal
-        # symbols, by class, the larger-class suffix coming first; the end is below all
-        typed = 2 * s + sign + 1
-        stops = np.append(left[1:] + 1, n)
-        width = int((stops - left).max())
-        if width <= 64:
-            grid = np.minimum(left[:, None] + np.arange(width), n - 1)
-            table = np.where(left[:, None] + np.arange(width) < stops[:, None], typed[grid], 0).astype(np.uint16)
-            keys = np.ascontiguousarray(table.astype(">u2")).view(np.dtype((np.void, 2 * width))).ravel()
-            names = np.unique(keys, return_inverse=True)[1]
-        else:
-            parts = [typed[a:b].astype(">u2").tobytes() for a, b in zip(left.tolist(), stops.tolist(), strict=True)]
-            names = np.unique(np.array(parts, object), return_inverse=True)[1]
+        names = _names(2 * s + sign + 1, left, np.append(left[1:] + 1, np.int32(n)))
         order = np.argsort(names, kind="stable") if names.max() == len(names) - 1 else _ranks_by_doubling(names)
         sorted_left = left[order]
     else:
@@ -212,7 +227,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     sorted_left, by = sorted_left[group], by[group]
     bounds = np.searchsorted(by, np.arange(len(heads) + 1))
     filled = [sorted_left[bounds[c] : bounds[c + 1]] for c in range(len(heads))]
-    return _induce(s, sign, heads, tails, np.zeros(n, np.int64), filled)
+    return _induce(s, sign, heads, tails, np.zeros(n, np.int32), filled)
 
 
 def permuted_prefixes(data: np.ndarray, sa: np.ndarray, limit: int) -> np.ndarray:
@@ -222,18 +237,20 @@ def permuted_prefixes(data: np.ndarray, sa: np.ndarray, limit: int) -> np.ndarra
     substring hashes.
     """
     n = len(data)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
-    hashes, shared = Hashes(data), np.zeros(n, np.int64)
-    at = np.flatnonzero(before >= 0)
-    step = 1 << (limit.bit_length() - 1)
-    while step:
-        a, b, have = at, before[at], shared[at]
-        can = (np.maximum(a, b) + have + step <= n) & (have + step <= limit)
-        a, b, have = a[can], b[can], have[can]
-        same = hashes.of(a + have, a + have + step) == hashes.of(b + have, b + have + step)
-        shared[a[same]] += step
-        step >>= 1
+    hashes, shared = Hashes(data), np.zeros(n, np.int32)
+    every = np.flatnonzero(before >= 0).astype(np.int32)
+    for start in range(0, len(every), AT_A_TIME):
+        at = every[start : start + AT_A_TIME]
+        step = 1 << (limit.bit_length() - 1)
+        while step:
+            a, b, have = at, before[at], shared[at]
+            can = (np.maximum(a, b) + have + step <= n) & (have + step <= limit)
+            a, b, have = a[can], b[can], have[can]
+            same = hashes.of(a + have, a + have + step) == hashes.of(b + have, b + have + step)
+            shared[a[same]] += step
+            step >>= 1
     return shared
 
 
