@@ -7,7 +7,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -15,6 +15,24 @@ from pyspark.sql.types import StructType
 SLICE_BYTES = 2 << 20
 #: New strings that a memo learns at a time.
 LEARN = 16_384
+#: Bytes of one Arrow batch between Spark and a worker.
+BATCH_BYTES = 4 << 20
+_held: dict = {}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, unless the session has a bound of its own: rows hold whole texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def held(key: tuple, build: Callable[[], object]):
+    """What ``build`` gives, kept for later tasks of the worker until it needs another model."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = build()
+    return _held[key]
 
 
 def document_key() -> list[Column]:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from canopy.functions.storage import settle
-from canopy.llm.common import as_bytes, column, slices
+from canopy.llm.common import as_bytes, column, slices, small_batches
 
 #: Words of items in one automaton; larger sets of items take several, one pass over the documents each.
 BLOCK_WORDS = 200_000
@@ -183,6 +183,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_wo
     of items is held at a time; each further block is one more pass.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     out = docs.select("doc_id", "text", F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<string>").alias("items"), *keep)
     for n, block in enumerate(blocks(items, block_words)):
         out = settle(out, "leaks") if n else out

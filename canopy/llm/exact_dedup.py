@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopy.functions.storage import settle
-from canopy.llm.common import as_bytes, column, document_key, key_join, slices
+from canopy.llm.common import as_bytes, column, document_key, key_join, slices, small_batches
 
 #: The modulus: the largest prime below 2**120.
 MODULUS = 2**120 - 119
@@ -107,6 +107,7 @@ def exact_dedup(docs: DataFrame, modulus: int = MODULUS) -> DataFrame:
     pre-aggregated before the shuffle.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("*", document_key()[1])
+    small_batches(docs.sparkSession)
     digests = settle(base.mapInArrow(_digest(modulus), "doc_id long, text_key long, fp binary, n_bytes long, text_sha256 string"), "digests")
     key = ["fp", "n_bytes"]
     groups = digests.groupBy(*key).agg(

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopy.functions.storage import settle
-from canopy.llm.common import column, slices, with_fields
+from canopy.llm.common import column, held, slices, small_batches, with_fields
 
 #: Labelled texts of a language, and characters of them, that a model learns from at most.
 SAMPLE_TEXTS, SAMPLE_CHARS = 200, 40_000
@@ -184,9 +184,8 @@ def sample(docs: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS
     return out
 
 
-@lru_cache(2)
 def _model(raw: bytes) -> Model:
-    return Model(pickle.loads(raw))
+    return held(("op2", raw), lambda: Model(pickle.loads(raw)))
 
 
 def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
@@ -199,6 +198,7 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     new = ("lang_pred", "score", "bits_per_letter")
     kept = [c for c in docs.columns if c not in new]
     docs = docs.select(*kept)
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(samples))
     schema = with_fields(docs.schema, "lang_pred string, score double, bits_per_letter double")
 

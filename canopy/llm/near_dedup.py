@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopy.functions.storage import settle
-from canopy.llm.common import as_bytes, column, slices
+from canopy.llm.common import as_bytes, column, slices, small_batches
 from canopy.operators.graph import components
 
 #: Members of a list that one block holds; a longer list is met block against block.
@@ -178,6 +178,7 @@ def near_dedup(docs: DataFrame, width: int = 4, seed: int = 42, max_bits: int =
     texts have no words, and all wordless texts share fingerprint zero.  Null ids
     are passed over when the smallest is taken.
     """
+    small_batches(docs.sparkSession)
     prints = settle(docs.select("doc_id", "text").mapInArrow(_fingerprints(width, seed), "doc_id long, fp long"), "prints")
     distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "fps")
     roots = components(settle(links(distinct.select("fp"), max_bits), "links")).withColumnRenamed("u", "fp")

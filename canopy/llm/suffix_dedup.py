@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopy.functions.storage import settle
-from canopy.llm.common import as_bytes, column, document_key, key_join, slices
+from canopy.llm.common import as_bytes, column, document_key, key_join, slices, small_batches
 
 LENGTH = 400
 K = 32
@@ -411,6 +411,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, most: int =
     the input.  ``kept`` is binary, as a cut may fall into a character.
     """
     key = ["h", "ctx", "off", "span"]
+    small_batches(docs.sparkSession)
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("*", document_key()[1])
     found = settle(base.mapInArrow(_find(length, k), "doc_id long, text_key long, lo long, off int, span int, h long, ctx long"), "stretches")
     twice = settle(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "anchors")

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from canopy.llm.common import Memo, column, slices
+from canopy.llm.common import Memo, column, held, slices, small_batches
 from canopy.llm.pieces import Pieces
 
 #: Cells that a worker remembers.
@@ -37,9 +36,8 @@ class Counter:
         return got[0].astype(np.int64), got[1]
 
 
-@lru_cache(2)
 def _counter(model: bytes) -> Counter:
-    return Counter(Pieces(model))
+    return held(("op10", model), lambda: Counter(Pieces(model)))
 
 
 def token_counts(docs: DataFrame, model: bytes) -> DataFrame:
@@ -50,6 +48,7 @@ def token_counts(docs: DataFrame, model: bytes) -> DataFrame:
     the tokenizer meets first counts.  Characters outside the vocabulary count
     as their bytes if it has byte pieces.  A null or empty text has none.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("score", pa.float64())])
 

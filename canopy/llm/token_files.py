@@ -14,7 +14,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopy.functions.storage import settle
-from canopy.llm.common import Memo, column, slices
+from canopy.llm.common import Memo, column, held, slices, small_batches
 
 #: Longest code in bits; the decoding table has 2**LIMIT entries.
 LIMIT = 18
@@ -94,10 +93,9 @@ class ChunkEncoder:
         return out
 
 
-@lru_cache(2)
 def _encoder(tokenizer_json: bytes, end_id: int, specials_as_text: bool) -> ChunkEncoder:
     """One encoder for all tasks of a worker."""
-    return ChunkEncoder(tokenizer_json, end_id, specials_as_text)
+    return held(("op9", tokenizer_json, end_id, specials_as_text), lambda: ChunkEncoder(tokenizer_json, end_id, specials_as_text))
 
 
 def _width(raw: bytes, n: int) -> str:
@@ -271,6 +269,7 @@ def write_tokens(docs: DataFrame, tokenizer_json: bytes, end_id: int = 0, limit:
     per id of the vocabulary.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(tokenizer_json)
     ranged = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
     ranged = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
