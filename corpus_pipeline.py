@@ -14,7 +14,7 @@ from canopy.functions.storage import settle
 from canopy.llm.decontaminate import decontaminate
 from canopy.llm.language_id import UNKNOWN, identify, sample
 from canopy.llm.line_dedup import line_dedup
-from canopy.llm.near_dedup import near_dedup
+from canopy.llm.near_copies import near_groups
 from canopy.llm.queries import _vocabulary
 from canopy.llm.sentence_pieces import encode
 
@@ -36,9 +36,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id."""
+    """Of each group of near copies (0.8 of the shingles of five words) the document with the smallest doc_id."""
     docs = docs.select(*COLUMNS)
-    kept = near_dedup(docs).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).groupBy(F.col("doc_id").alias("k")).agg(F.count("*").alias("n"))
+    groups = settle(near_groups(docs), "near-groups")
+    low = groups.groupBy("component").agg(F.min("doc_id").alias("low"))
+    kept = groups.join(low, "component").where(F.col("low").eqNullSafe(F.col("doc_id"))).groupBy(F.col("doc_id").alias("k")).agg(F.count("*").alias("n"))
     kept = settle(kept, "kept")
     out = docs.join(kept.select("k"), F.col("doc_id").eqNullSafe(F.col("k")), "left_semi").select(*COLUMNS)
     # rows that repeat a doc_id are versions of one document, of which one stays; the ids alone tell whether there are any
