@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopy.functions.storage import settle
+from canopy.llm.common import key_join
 from canopy.llm.decontaminate import decontaminate
 from canopy.llm.language_id import UNKNOWN, identify, sample
 from canopy.llm.line_dedup import line_dedup
@@ -36,15 +37,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (0.8 of the shingles of five words) the document with the smallest doc_id."""
+    """Of each group of near copies (0.8 of the shingles of five words) one document.
+
+    A document is a doc_id with a text: rows that share an id, or have none, stay apart unless their texts are near copies.  The smallest
+    doc_id of a group stays (a null one only if there is no other), then the smallest hash of the text, then the smallest other columns.
+    """
     docs = docs.select(*COLUMNS)
     groups = settle(near_groups(docs), "near-groups")
-    low = groups.groupBy("component").agg(F.min("doc_id").alias("low"))
-    kept = groups.join(low, "component").where(F.col("low").eqNullSafe(F.col("doc_id"))).groupBy(F.col("doc_id").alias("k")).agg(F.count("*").alias("n"))
-    kept = settle(kept, "kept")
-    out = docs.join(kept.select("k"), F.col("doc_id").eqNullSafe(F.col("k")), "left_semi").select(*COLUMNS)
-    # rows that repeat a doc_id are versions of one document, of which one stays; the ids alone tell whether there are any
-    return out if kept.where("n > 1").isEmpty() else out.dropDuplicates(["doc_id"])
+    kept = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("k"))
+    kept = kept.select("k.doc_id", "k.text_key")
+    out = key_join(docs.withColumn("text_key", F.xxhash64("text")), kept, "left_semi")
+    # rows that share id and text are copies; the keys alone tell whether there are any
+    if groups.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return out.select(*COLUMNS)
+    return out.groupBy("doc_id", "text_key").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -99,3 +99,14 @@ def test_stage_drops_copies_that_simhash_misses(spark):
     far = edited(rng, base, 12)
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate((base, near, far))], SCHEMA)
     assert rows(corpus_pipeline.near_copies(spark, df, ""), "doc_id") == [(0,), (2,)]
+
+
+def test_stage_keeps_unrelated_texts_of_one_id(spark):
+    def text(k):
+        return " ".join(f"t{k}word{i}" for i in range(30))
+
+    kept = [(None, text(1)), (None, text(2)), (5, text(3)), (5, text(4)), (6, text(5))]
+    rows_in = [*kept, (7, text(5)), (6, text(5)), (None, text(3)), (4, text(6)), (5, text(6))]
+    df = spark.createDataFrame([(i, t, "en", f"s{n}", len(t)) for n, (i, t) in enumerate(rows_in)], SCHEMA)
+    got = rows(corpus_pipeline.near_copies(spark, df, ""), "doc_id", "text", "source")
+    assert got == sorted([*((i, t, f"s{n}") for n, (i, t) in enumerate(kept)), (4, text(6), "s8")], key=repr)
