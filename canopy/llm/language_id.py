@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.functions.storage import settle
@@ -24,7 +24,7 @@ from canopy.llm.common import column, held, slices, small_batches, with_fields
 
 #: Labelled texts of a language, and characters of them, that a model learns from at most.
 SAMPLE_TEXTS, SAMPLE_CHARS = 200, 40_000
-#: Languages a model has at most.
+#: Languages a model has at most; more are met in several passes.
 LANGUAGES = 64
 #: Characters that are parsed as one piece; a phrase ends where its piece ends.
 PIECE = 512
@@ -117,13 +117,12 @@ class Model:
         self.symbol[letters] = np.arange(1, len(letters) + 1)
         self.parsers = [Parser(self.symbol[texts[k]], len(letters) + 2) for k in self.languages]
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, score (posterior of the bits) and bits per letter of each text."""
+    def weigh(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """Letters of each text, its best language, the bits of that, and the sum over all languages of 2 ** (those bits - theirs)."""
         codes = [folded(t or "") for t in texts]
         letters = np.array([int((c != 32).sum()) for c in codes], np.int64)
-        names, score, rate = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         if not self.parsers or not letters.any():
-            return names, score, rate
+            return letters, [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         size = np.array([len(c) for c in codes], np.int64)
         pieces = -(-size // PIECE)
         doc = np.repeat(np.arange(len(codes)), pieces)
@@ -138,14 +137,28 @@ class Model:
         bits = np.zeros((len(self.parsers), len(codes)))
         for k, parser in enumerate(self.parsers):
             bits[k] = np.bincount(doc, parser.phrases(steps, active), len(codes)) * parser.bits
-        best = bits.argmin(0)
         low = bits.min(0)
-        posterior = 1 / np.exp2(np.maximum(low - bits, -1000)).sum(0)
-        some = letters > 0
-        score[some], rate[some] = posterior[some], low[some] / letters[some]
-        for i in np.flatnonzero(some).tolist():
-            names[i] = self.languages[best[i]]
-        return names, score, rate
+        names = [self.languages[k] if n else UNKNOWN for k, n in zip(bits.argmin(0).tolist(), letters.tolist(), strict=True)]
+        return letters, names, low, np.exp2(np.maximum(low - bits, -1000)).sum(0)
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score (posterior of the bits) and bits per letter of each text."""
+        letters, names, low, total = self.weigh(texts)
+        return names, *_rated(letters, low, total)
+
+
+def _rated(letters: np.ndarray, low: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    score, rate = np.zeros(len(letters)), np.zeros(len(letters))
+    some = (letters > 0) & (total > 0)
+    score[some], rate[some] = 1 / total[some], low[some] / letters[some]
+    return score, rate
+
+
+def _better(names: list[str], low: np.ndarray, total: np.ndarray, names2: list[str], low2: np.ndarray, total2: np.ndarray) -> tuple:
+    """What two models over different languages find together; ties go to the first."""
+    least = np.minimum(low, low2)
+    total = total * np.exp2(np.maximum(least - low, -1000)) + total2 * np.exp2(np.maximum(least - low2, -1000))
+    return [y if better else x for x, y, better in zip(names, names2, (low2 < low).tolist(), strict=True)], least, total
 
 
 def learnable(docs: DataFrame) -> Column:
@@ -163,24 +176,29 @@ def sample(docs: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS
     Texts of a language are ordered by a hash of the text, equal ones counted
     once; as many as make up ``chars`` characters are joined, ``texts`` at most.
     The share of hashes that is looked at follows from the counts of all labelled
-    rows, so few texts reach the driver whatever the size of the table.
+    rows, so few texts of a language reach the driver whatever the size of the table.
     """
     labelled = docs.select("doc_id", "text", "lang").where(learnable(docs)).select("lang", "text", F.xxhash64("text").alias("h"))
-    counts = labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    out = {}
-    if not counts:
-        return out
-    bound = F.lit(None).cast("double")
-    for r in counts:
-        bound = F.when(F.col("lang") == r.lang, F.lit(min(1.0, 1.3 * (texts + 30) / max(r.n, 1)))).otherwise(bound)
-    drawn = labelled.where(F.pmod("h", F.lit(1 << 40)) < bound * float(1 << 40))
+    counts = settle(labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")), "languages")
+    share = F.least(F.lit(1.0), F.lit(1.3 * (texts + 30)) / F.greatest("n", F.lit(1)))
+    place = F.pmod("h", F.lit(1 << 40))
+    drawn = labelled.join(F.broadcast(counts), "lang").where(place < share * float(1 << 40))
     drawn = drawn.groupBy("lang", "h").agg(F.min(F.substring("text", 1, chars)).alias("text"))
-    drawn = settle(drawn, "language-sample")
-    for r in counts:
-        own = drawn.where(F.col("lang") == r.lang).orderBy(F.pmod("h", F.lit(1 << 40)), "h").limit(texts).select("text").collect()
-        joined = " \n".join(x.text for x in own)[:chars]
-        if any(x.isalpha() for x in joined):
-            out[r.lang] = joined
+    inner = Window.partitionBy("lang").orderBy(place, "h")
+    # characters up to the text itself, with the two between texts
+    before = F.sum(F.length("text") + 2).over(inner.rowsBetween(Window.unboundedPreceding, -1))
+    drawn = drawn.select("lang", "text", F.row_number().over(inner).alias("nth"), F.coalesce(before, F.lit(0)).alias("before"))
+    drawn = settle(drawn.where((F.col("nth") <= texts) & (F.col("before") < chars)), "language-sample")
+    languages = sorted(r.lang for r in counts.select("lang").collect())
+    out = {}
+    for at in range(0, len(languages), LANGUAGES):
+        found: dict[str, list] = {}
+        for r in drawn.where(F.col("lang").isin(languages[at : at + LANGUAGES])).collect():
+            found.setdefault(r.lang, []).append((r.nth, r.text))
+        for lang, own in found.items():
+            joined = " \n".join(x for _, x in sorted(own))[:chars]
+            if any(x.isalpha() for x in joined):
+                out[lang] = joined
     return out
 
 
@@ -194,21 +212,40 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     ``score`` is between 0 and 1.  A text that is null or has no letters gets
     ``und`` and score 0, as does every text if nothing was learned.  Ties go to
     the language whose name sorts first.  The result columns replace columns of the same name.
+    More than LANGUAGES languages take a pass for each LANGUAGES of them, between
+    which score has the sum of ``Model.weigh`` and bits_per_letter the bits of the text.
     """
     new = ("lang_pred", "score", "bits_per_letter")
     kept = [c for c in docs.columns if c not in new]
     docs = docs.select(*kept)
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(samples))
     schema = with_fields(docs.schema, "lang_pred string, score double, bits_per_letter double")
+    languages = sorted(samples)
+    starts = range(0, max(len(languages), 1), LANGUAGES)
+    for at in starts:
+        part = {k: samples[k] for k in languages[at : at + LANGUAGES]}
+        shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(part))
+        docs = docs.mapInArrow(_pass(shared, at == 0, at == starts[-1], kept), schema)
+        if at != starts[-1]:
+            docs = settle(docs, "languages-met")
+    return docs
+
+
+def _pass(shared, first: bool, last: bool, kept: list[str]):
+    """Weigh the texts with one model, together with what earlier passes found."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shared.value)
         for b in slices(batches):
-            names, score, rate = model.predict(column(b, "text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(score), pa.array(rate)], names=[*b.schema.names, *new])
-
-    return docs.mapInArrow(work, schema)
+            letters, names, low, total = model.weigh(column(b, "text").to_pylist())
+            if not first:
+                old = column(b, "lang_pred").to_pylist(), column(b, "bits_per_letter").to_numpy(), column(b, "score").to_numpy()
+                names, low, total = _better(*old, names, low, total)
+            score, rate = _rated(letters, low, total) if last else (total, low)
+            new = [pa.array(names, pa.string()), pa.array(score), pa.array(rate)]
+            yield pa.RecordBatch.from_arrays([*(column(b, c) for c in kept), *new], names=[*kept, "lang_pred", "score", "bits_per_letter"])
+
+    return work
 
 
 def language_id(docs: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pytest
 
@@ -66,3 +68,28 @@ def test_learning_leaves_out_held_out_rows(spark):
     df = spark.createDataFrame([(i, f"text of {'secret' if i in out else 'plain'} rows {i}", "en") for i in range(200)], "doc_id long, text string, lang string")
     assert "secret" not in li.sample(df)["en"] and "plain" in li.sample(df)["en"]
     assert {r.doc_id for r in li.language_id(df).where("held_out").collect()} == set(out)
+
+
+def test_many_languages_are_all_learned(spark):
+    """Seventy languages, each with an alphabet of its own; the rarest ones too are told."""
+    texts, i = [], 0
+    for k in range(70):
+        letters = [chr(0x4E00 + 5 * k + j) for j in range(5)]
+        for n in range(2 if k % 2 else 4):
+            while zlib.crc32(str(i).encode()) % 5 == 0:
+                i += 1
+            texts.append((i, " ".join("".join(letters[(n + a * b) % 5] for b in range(4)) for a in range(9)), f"l{k:02d}"))
+            i += 1
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    assert rows(li.language_id(df), "doc_id", "lang_pred") == sorted(((i, k) for i, _, k in texts), key=repr)
+
+
+def test_passes_agree_with_one_model(real, monkeypatch):
+    some = real.where("length(text) < 3000").limit(60)
+    samples = li.sample(real)
+    assert len(samples) == 4
+    whole = rows(li.identify(some, samples), "doc_id", "lang_pred", "score", "bits_per_letter")
+    monkeypatch.setattr(li, "LANGUAGES", 1)
+    parts = rows(li.identify(some, samples), "doc_id", "lang_pred", "score", "bits_per_letter")
+    assert [r[:2] for r in whole] == [r[:2] for r in parts]
+    assert np.allclose([r[2:] for r in whole], [r[2:] for r in parts], rtol=1e-9, atol=0)
