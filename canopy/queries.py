@@ -299,6 +299,63 @@ def dpc_labels(s, d):
     return cluster.peak_labels(cluster.density_peaks(_c2(s, d), 3.0), 2, 6.0)
 
 
+# The queries above that hold to 1,023 orders, 500 orders or a few ids have SQL that says so. Those below do the same work on whole
+# tables: the nodes of a built index, all orders, and batches of a tenth of the points. Tests hold those without SQL to plain Python.
+
+
+@query()
+def built_balance(s, d):
+    return counters.violations(b.build_exact(_p2(s, d)).nodes)
+
+
+@query()
+def built_counter_ratio(s, d):
+    return counters.consistency(b.build_exact(_p2(s, d)).nodes).select("node_id", F.round("ratio", 9).alias("ratio"), "consistent")
+
+
+@query()
+def built_propagation(s, d):
+    """Each point moves the counters above its leaf by one."""
+    ix = b.build_exact(_p2(s, d))
+    moves = ix.points.select("leaf_id", F.lit(1).cast("long").alias("weight"))
+    return counters.propagate(ix.nodes, moves).where("not is_leaf").select("node_id", F.col("approx_counter").alias("counter"))
+
+
+@query()
+def built_structure(s, d):
+    return diagnose.validate(b.build_exact(_p2(s, d)).nodes)
+
+
+@query("SELECT CASE WHEN o_orderkey > 32 AND o_orderkey < 10000 THEN 1 ELSE 0 END AS level, sum(CASE WHEN o_orderkey > 32 AND o_orderkey < 10000 THEN 4 ELSE 1 END)::BIGINT AS copies FROM orders GROUP BY 1")
+def scatter_level_all(s, d):
+    nodes = _t(s, d, "orders").select(F.col("o_orderkey").alias("node_id"), F.col("o_orderkey").alias("n_points"))
+    return placement.placement(nodes, 10000, 4).groupBy("level").agg(F.count("*").alias("copies"))
+
+
+def _grown_tenth(s, d):
+    pts = _p2(s, d)
+    return update.insert(b.build_exact(pts), pts.where("id % 10 = 3").withColumn("id", -F.col("id")))
+
+
+@query(f"WITH {P2} SELECT id, d0, d1 FROM p UNION ALL SELECT -id, d0, d1 FROM p WHERE id % 10 = 3")
+def insert_tenth(s, d):
+    return _grown_tenth(s, d).points.select("id", "d0", "d1")
+
+
+@query("SELECT count(*) + count(*) FILTER (p_partkey % 10 = 3) AS points, CAST(0 AS BIGINT) AS invalid FROM part")
+def insert_tenth_counts(s, d):
+    nodes = _grown_tenth(s, d).nodes
+    checks = diagnose.validate(nodes).select((F.col("invalid_parents") + F.col("childless") + F.col("self_cycles")).alias("invalid"))
+    return nodes.where("is_leaf").agg(F.sum("n_points").alias("points")).crossJoin(checks)
+
+
+@query("SELECT CAST(0 AS BIGINT) AS removed, count(*) AS points FROM part")
+def delete_missing_tenth(s, d):
+    pts = _p2(s, d)
+    ix, n = update.delete(b.build_exact(pts), pts.where("id % 10 = 3").withColumn("d1", F.col("d1") + F.lit(5e6).cast("float")))
+    return ix.points.agg(F.lit(n).cast("long").alias("removed"), F.count("*").alias("points"))
+
+
 def queries() -> dict:
     return dict(Q)
 

@@ -138,3 +138,31 @@ def test_shell_and_stream(spark, tmp_path):
 
 def test_queries_have_sql():
     assert set(q.oracle_sql()) <= set(q.queries()) and len(q.queries()) >= 35
+
+
+def test_whole_table_queries(spark):
+    """Over all parts and orders, held to counts of the points of the index's leaves."""
+    ix = b.build_exact(q._p2(spark, DATA))
+    n, leaves = {}, {r.node_id for r in ix.nodes.where("is_leaf").collect()}
+    for r in ix.points.select("leaf_id").collect():
+        k = r.leaf_id
+        while k:
+            n[k], k = n.get(k, 0) + 1, k >> 1
+    inner = set(n) - leaves
+    parts = spark.read.parquet(f"{DATA}/part.parquet").count()
+    keys = [r[0] for r in spark.read.parquet(f"{DATA}/orders.parquet").select("o_orderkey").collect()]
+    assert n[1] == parts
+
+    def run(name):
+        return {r[0]: tuple(r[1:]) for r in q.queries()[name](spark, DATA).collect()}
+
+    sides = {k: (n[2 * k], n[2 * k + 1]) for k in inner}
+    assert run("built_balance") == {k: (x, y, max(x, y) > 3 * min(x, y)) for k, (x, y) in sides.items()}
+    assert run("built_counter_ratio") == {k: (1.0, True) for k in inner}
+    assert run("built_propagation") == {k: (2 * n[k],) for k in inner}
+    assert run("built_structure") == {len(n): (0, 0, 0)}
+    one = sum(32 < k < 10000 for k in keys)
+    assert run("scatter_level_all") == {0: (len(keys) - one,), 1: (4 * one,)}
+    tenth = sum(r.id % 10 == 3 for r in ix.points.select("id").collect())
+    assert run("insert_tenth_counts") == {parts + tenth: (0,)} and len(run("insert_tenth")) == parts + tenth
+    assert run("delete_missing_tenth") == {0: (parts,)}
