@@ -83,8 +83,7 @@ def _vocabulary(name: str) -> bytes:
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from canopy.llm.token_files import read_tokens, write_tokens
 
-    segments, lengths = write_tokens(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
-    return read_tokens(segments, lengths).drop("ids")
+    return read_tokens(write_tokens(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))).drop("ids")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,75 +24,136 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopy.functions.storage import settle
-from canopy.llm.common import Memo, column, held, slices, small_batches
+from canopy.llm.chunk_table import PAD, ChunkTable
+from canopy.llm.common import column, held, slices, small_batches
 
 #: Longest code in bits; the decoding table has 2**LIMIT entries.
 LIMIT = 18
 #: Ids between two checkpoints.
 BLOCK = 256
-MAGIC = b"CNPYSEG1"
+MAGIC = b"CNPYSEG2"
 #: Encoded chunks that a worker remembers.
-CACHE = 400_000
+CACHE = 1_000_000
 #: Chunks that are encoded as one text.
 JOINED = 50
-_BLANKS = " \t\n\x0b\x0c\r"
-#: A chunk is a run of ASCII blanks and what follows up to the next blank.
-_CHUNK = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
+_WORD, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_WORD[list(map(ord, string.ascii_letters + string.digits))] = True
+_MARK[list(map(ord, string.punctuation.replace("'", "")))] = True
+_BLANKS = b" \t\n\x0b\x0c\r"
+#: First bytes of white space beyond ASCII, and the whole of it: U+0085, U+00A0, U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000.
+_WIDE_LEAD = (0xC2, 0xE1, 0xE2, 0xE3)
 _WIDE_BLANK = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
-class ChunkEncoder:
-    """Byte-level BPE through the tokenizers library, with a bounded cache of chunks.
+def text_bytes(texts: pa.Array) -> tuple[bytes, np.ndarray]:
+    """The UTF-8 bytes of a column of strings, joined, and where each ends; null counts as empty."""
+    texts = texts.cast(pa.large_string())
+    if texts.null_count:
+        texts = texts.fill_null("")
+    bounds = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset) if len(texts) else np.zeros(1, np.int64)
+    raw = texts.buffers()[2]
+    return (raw.slice(int(bounds[0]), int(bounds[-1] - bounds[0])).to_pybytes() if raw else b""), bounds[1:] - bounds[0]
+
 
-    The pre-tokenizer never joins a character that is no white space with an
-    ASCII blank after it, so a text may be cut there.  Texts with other white
-    space are encoded whole.
+class ChunkEncoder:
+    """Byte-level BPE through the tokenizers library, with a bounded memory of chunks.
+
+    A text may be cut where the pre-tokenizer never joins: before an ASCII blank
+    that follows something else, and between an ASCII letter or digit and the
+    punctuation after it (but for the apostrophe of a contraction).  Texts with other white space or
+    with the string of a special token are encoded whole.  ``specials_as_text``
+    is the library's setting: False, its default, gives such strings their
+    special ids; True takes them for plain text.
     """
 
-    def __init__(self, tokenizer_json: bytes, end_id: int = 0, specials_as_text: bool = True):
+    def __init__(self, tokenizer_json: bytes, end_id: int = 0, specials_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(tokenizer_json)
         self.tokenizer.encode_special_tokens = specials_as_text
+        self.tokenizer.model._resize_cache(0)  # the library would remember the same chunks once more
         self.end_id = end_id
         vocab = self.tokenizer.get_vocab()
-        self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
+        self.size = max(max(vocab.values()), end_id) + 1
+        self.n_bytes = np.zeros(self.size, np.int64)
         for token, i in vocab.items():  # a character of a byte-level token stands for a byte
             self.n_bytes[i] = len(token)
-        self.memo = Memo(self._learn, CACHE, np.uint32)
+        self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.table = ChunkTable(self._learn, CACHE, self.dtype)
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, new: list[str]) -> tuple[list, np.ndarray]:
+    def _learn(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Chunks that start with a blank and end without are encoded many at a time, then cut apart by their bytes."""
-        runs: list = [None] * len(new)
-        alone = [i for i, c in enumerate(new) if c[0] not in _BLANKS or c[-1] in _BLANKS]
-        for i, e in zip(alone, self.tokenizer.encode_batch_fast([new[i] for i in alone], add_special_tokens=False), strict=True):
-            runs[i] = e.ids
-        joined = [i for i in range(len(new)) if runs[i] is None]
-        groups = [joined[k : k + JOINED] for k in range(0, len(joined), JOINED)]
-        for own, e in zip(groups, self.tokenizer.encode_batch_fast(["".join([new[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
-            ids = e.ids
-            ends = np.cumsum(self.n_bytes[ids])
-            stops = np.searchsorted(ends, np.cumsum([len(new[i].encode()) for i in own]), "right").tolist()
-            for i, at, to in zip(own, [0, *stops], stops, strict=False):
-                runs[i] = ids[at:to]
-        return runs, np.zeros((0, len(new)))
+        joined = [i for i, c in enumerate(new) if c[0] in _BLANKS and c[-1] not in _BLANKS]
+        alone = sorted(set(range(len(new))).difference(joined))
+        texts = [b"".join([new[i] for i in joined[k : k + JOINED]]).decode() for k in range(0, len(joined), JOINED)]
+        texts += [new[i].decode() for i in alone]
+        ids = list(chain.from_iterable([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]))
+        flat = np.array(ids, self.dtype)
+        order = np.array(joined + alone, np.int64)
+        size = np.fromiter(map(len, new), np.int64, len(new))[order]
+        stops = np.searchsorted(np.cumsum(self.n_bytes[flat]), np.cumsum(size), "right")
+        starts, sizes = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        starts[order], sizes[order] = np.append(0, stops[:-1]), np.diff(stops, prepend=0)
+        return flat, starts, sizes
+
+    def _odd(self, data: np.ndarray, raw: bytes, ends: np.ndarray) -> set[int]:
+        """Texts that must not be cut."""
+        out: set[int] = set()
+        lead = np.zeros(256, bool)
+        lead[list(_WIDE_LEAD)] = True
+        at = np.flatnonzero(lead[data])
+        for i in np.unique(np.searchsorted(ends, at, "right")).tolist():
+            start = int(ends[i - 1]) if i else 0
+            if _WIDE_BLANK.search(raw[start : int(ends[i])].decode()):
+                out.add(i)
+        for special in self.specials:
+            here = raw.find(special)
+            while here >= 0:
+                i = int(np.searchsorted(ends, here, "right"))
+                if here + len(special) <= ends[i]:
+                    out.add(i)
+                here = raw.find(special, here + 1)
+        return out
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, joined, each with the end id behind it, and how many each has."""
+        raw, ends = text_bytes(texts)
+        padded = np.zeros(len(raw) + PAD, np.uint8)
+        padded[: len(raw)] = np.frombuffer(raw, np.uint8)
+        data = padded[: len(raw)]
+        blank = (data == 32) | ((data >= 9) & (data <= 13))
+        cut = blank.copy()
+        cut[1:] &= ~blank[:-1]
+        cut[1:] |= _MARK[data[1:]] & _WORD[data[:-1]]
+        sizes = np.diff(ends, prepend=0)
+        cut[(ends - sizes)[sizes > 0]] = True
+        at = np.flatnonzero(cut)
+        index = self.table.index(padded, raw, at, np.diff(at, append=len(raw)))
+        many = self.table.sizes[index]
+        owner = np.searchsorted(ends, at, "right")
+        n = np.bincount(owner, many, len(ends)).astype(np.int64) + 1
+        out, last = np.empty(int(n.sum()), self.dtype), np.cumsum(n) - 1
+        body = np.ones(len(out), bool)
+        body[last] = False
+        out[body], out[last] = self.table.runs(index), self.end_id
+        odd = self._odd(data, raw, ends)
+        if odd:
+            parts = np.split(out, last[:-1] + 1)
+            for i in odd:
+                own = raw[int(ends[i] - sizes[i]) : int(ends[i])].decode()
+                parts[i] = np.array([*self.whole(own), self.end_id], self.dtype)
+            out, n = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+        return out, n
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, with the end id."""
-        odd = {i for i, t in enumerate(texts) if not t.isascii() and _WIDE_BLANK.search(t)}
-        chunks = [[] if i in odd else _CHUNK.findall(t) for i, t in enumerate(texts)]
-        index = self.memo.index(chunks)
-        ids = self.memo.runs(index)
-        stops = np.append(0, np.cumsum(self.memo.sizes[index]))[np.append(0, np.cumsum([len(c) for c in chunks]))]
-        out = []
-        for i, (at, to) in enumerate(zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)):
-            own = ids[at:to] if i not in odd else np.array(self.whole(texts[i]), np.uint32)
-            out.append(np.append(own, np.uint32(self.end_id)))
-        return out
+        ids, n = self.encode_column(pa.array(texts, pa.large_string()))
+        return np.split(ids.astype(np.uint32), np.cumsum(n)[:-1])
 
 
 def _encoder(tokenizer_json: bytes, end_id: int, specials_as_text: bool) -> ChunkEncoder:
@@ -109,16 +172,15 @@ def _encode(tokenizer, end_id: int, specials_as_text: bool):
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer.value, end_id, specials_as_text)
         part, seq, start = TaskContext.get().partitionId(), 0, 0
-        width = "<u2" if max(len(encoder.n_bytes), end_id + 1) <= 1 << 16 else "<u4"
         for b in slices(batches):
-            ids = encoder.encode_all([x or "" for x in column(b, "text").to_pylist()])
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            ids, sizes = encoder.encode_column(column(b, "text"))
             starts = start + np.cumsum(sizes) - sizes
+            bounds = np.append(0, np.cumsum(sizes)) * ids.itemsize
+            raw = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(bounds), pa.py_buffer(ids)])
             yield pa.record_batch(
-                [pa.array(np.full(len(ids), part, np.int32)), pa.array(np.arange(seq, seq + len(ids))), column(b, "doc_id"), pa.array(starts), pa.array(sizes),
-                 pa.array([x.astype(width).tobytes() for x in ids], pa.large_binary())], schema=schema,
+                [pa.array(np.full(len(sizes), part, np.int32)), pa.array(np.arange(seq, seq + len(sizes))), column(b, "doc_id"), pa.array(starts), pa.array(sizes), raw], schema=schema,
             )
-            seq += len(ids)
+            seq += len(sizes)
             start += int(sizes.sum())
 
     return work
@@ -169,6 +231,7 @@ class Code:
 
     def __init__(self, lengths: np.ndarray):
         self.lengths = np.asarray(lengths, np.uint8)
+        self.checksum = zlib.crc32(self.lengths.tobytes())
         self.bits = max(1, int(self.lengths.max(initial=0)))
         used = np.flatnonzero(self.lengths)
         order = used[np.lexsort((used, self.lengths[used]))]
@@ -216,21 +279,36 @@ class Code:
         return out.T.reshape(-1)[:n]
 
 
-_HEAD = struct.Struct("<8sIQQQ")
+_HEAD = struct.Struct("<8sIIQQQ")
+#: The row of a table of segments that holds the code: its ``first_token``, and the start of its bytes.
+CODE_ROW, CODE_MAGIC = -1, b"CNPYCODE2"
+
+
+def write_code(lengths: np.ndarray) -> bytes:
+    """The code lengths of all ids, for the row of the code."""
+    return CODE_MAGIC + zlib.compress(np.asarray(lengths, np.uint8).tobytes())
+
+
+def read_code(blob: bytes) -> np.ndarray:
+    if not blob.startswith(CODE_MAGIC):
+        raise ValueError("not a code of token ids")
+    return np.frombuffer(zlib.decompress(blob[len(CODE_MAGIC) :]), np.uint8)
 
 
 def write_segment(code: Code, doc_ids: np.ndarray, has_id: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """Header (magic, ids a block, documents, ids, blocks), four columns of documents, checkpoints, bits."""
+    """Header (magic, checksum of the code, ids a block, documents, ids, blocks), four columns of documents, checkpoints, bits."""
     offsets, bits = code.pack(ids, block)
-    head = _HEAD.pack(MAGIC, block, len(doc_ids), len(ids), len(offsets))
+    head = _HEAD.pack(MAGIC, code.checksum, block, len(doc_ids), len(ids), len(offsets))
     return b"".join([head, *(np.asarray(x, "<i8").tobytes() for x in (doc_ids, has_id, starts, sizes, offsets)), bits])
 
 
 def read_segment(code: Code, blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(doc_ids, has_id, starts, sizes, ids) of a segment."""
-    magic, block, docs, n, blocks = _HEAD.unpack_from(blob)
+    magic, checksum, block, docs, n, blocks = _HEAD.unpack_from(blob)
     if magic != MAGIC:
         raise ValueError("not a segment of token ids")
+    if checksum != code.checksum:
+        raise ValueError("the segment was written with another code")
     at, cols = _HEAD.size, []
     for m in (docs, docs, docs, docs, blocks):
         cols.append(np.frombuffer(blob, "<i8", m, at))
@@ -260,19 +338,22 @@ def _segments(lengths, offsets):
     return work
 
 
-def write_tokens(docs: DataFrame, tokenizer_json: bytes, end_id: int = 0, limit: int = LIMIT, specials_as_text: bool = True) -> tuple[DataFrame, bytes]:
-    """Encode and write; returns the table of segments (first_token, segment) and the code lengths.
+def write_tokens(docs: DataFrame, tokenizer_json: bytes, end_id: int = 0, limit: int = LIMIT, specials_as_text: bool = False, path: str | None = None) -> DataFrame:
+    """Encode and write; returns the table of segments (first_token, segment), which is all that ``read_tokens`` needs.
 
-    Segments lie in the shared folder; ``first_token`` puts them in order.  Null
+    The table is written to ``path``, or else to the shared folder; ``first_token``
+    puts segments in order, and the row with CODE_ROW there holds the code.  Null
     doc_ids come first, and rows of one doc_id follow a hash of their text.  A null
-    text has the end id only.  The driver holds one number per partition and one
-    per id of the vocabulary.
+    text has the end id only.  Strings of special tokens in a text become their
+    special ids, as the library has it by default; ``specials_as_text`` takes them
+    for plain text.  The driver holds one number per partition and one per id of
+    the vocabulary.
     """
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(tokenizer_json)
-    ranged = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
-    ranged = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    ranged = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
     coded = settle(ranged.mapInArrow(_encode(shared, end_id, specials_as_text), "part int, seq long, doc_id long, local_start long, n_tokens long, ids binary"), "ids")
     offsets, total = {}, 0
     for part, n in sorted(map(tuple, coded.groupBy("part").agg(F.sum("n_tokens")).collect())):
@@ -281,9 +362,14 @@ def write_tokens(docs: DataFrame, tokenizer_json: bytes, end_id: int = 0, limit:
     counts = np.zeros(max((r.id for r in tally), default=0) + 1, np.int64)
     for r in tally:
         counts[r.id] = r.n
-    lengths = code_lengths(counts, limit).tobytes()
-    segments = coded.mapInArrow(_segments(spark.sparkContext.broadcast(lengths), offsets), "first_token long, segment binary")
-    return settle(segments, "segments"), lengths
+    lengths = code_lengths(counts, limit)
+    schema = "first_token long, segment binary"
+    segments = coded.mapInArrow(_segments(spark.sparkContext.broadcast(lengths.tobytes()), offsets), schema)
+    segments = segments.unionByName(spark.createDataFrame([(CODE_ROW, write_code(lengths))], schema))
+    if path is None:
+        return settle(segments, "segments")
+    segments.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def _read(lengths):
@@ -304,7 +390,16 @@ def _read(lengths):
     return work
 
 
-def read_tokens(segments: DataFrame, lengths: bytes) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids) of each document; ``ids`` are little-endian words of 32 bits."""
-    shared = segments.sparkSession.sparkContext.broadcast(lengths)
-    return segments.select("segment").mapInArrow(_read(shared), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+def read_tokens(segments: DataFrame) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids) of each document, from a table of segments alone.
+
+    ``ids`` are little-endian words of 32 bits.
+    """
+    spark = segments.sparkSession
+    small_batches(spark)
+    code = segments.where(F.col("first_token") == CODE_ROW).first()
+    if code is None:
+        raise ValueError("the table has no code")
+    shared = spark.sparkContext.broadcast(read_code(bytes(code.segment)).tobytes())
+    rows = segments.where(F.col("first_token") != CODE_ROW).select("segment")
+    return rows.mapInArrow(_read(shared), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")

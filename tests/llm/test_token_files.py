@@ -15,44 +15,50 @@ def vocabulary():
     return _vocabulary("byte_bpe_50k.json")
 
 
-def encoded(vocabulary, t):
+def library(vocabulary, plain=False):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_buffer(vocabulary)
-    tok.encode_special_tokens = True
-    return [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+    if plain:
+        tok.encode_special_tokens = True
+    return lambda t: [*tok.encode(t or "", add_special_tokens=False).ids, 0]
 
 
 def test_files_round_trip(docs, texts, vocabulary):
-    back = tf.read_tokens(*tf.write_tokens(docs, vocabulary))
+    back, encoded = tf.read_tokens(tf.write_tokens(docs, vocabulary)), library(vocabulary)
     got = {(r.doc_id, r.start): (r.n_tokens, r.ids_crc32, np.frombuffer(r.ids, "<u4").tolist()) for r in back.collect()}
     start = 0
     for i, t in sorted(texts, key=lambda x: x[0]):
-        ids = encoded(vocabulary, t)
+        ids = encoded(t)
         assert got.pop((i, start)) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), ids)
         start += len(ids)
     assert not got
 
 
-def test_chunks_match_whole_texts(vocabulary):
+@pytest.mark.parametrize("plain", [False, True])
+@pytest.mark.parametrize("cache", [40, 100_000])
+def test_chunks_match_whole_texts(vocabulary, plain, cache, monkeypatch):
+    """With a memory of 40 chunks it is trimmed all the time."""
+    monkeypatch.setattr(tf, "CACHE", cache)
     rng = random.Random(3)
-    alphabet = ["a", "é", "Z", " ", " ", "  ", "\n", "\t", "\r", "\x0b", "'s", "'", "7", "!", "\x85", "\xa0", " ", "\x1c", "<|endoftext|>", "日"]
-    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 60))) for _ in range(3000)]
-    got = tf.ChunkEncoder(vocabulary).encode_all(texts)
-    for t, ids in zip(texts, got, strict=True):
-        assert ids.tolist() == encoded_with(t), repr(t)
-
-
-_TOK = []
-
-
-def encoded_with(t):
-    if not _TOK:
-        from tokenizers import Tokenizer
-
-        _TOK.append(Tokenizer.from_buffer(_vocabulary("byte_bpe_50k.json")))
-        _TOK[0].encode_special_tokens = True
-    return [*_TOK[0].encode(t, add_special_tokens=False).ids, 0]
+    alphabet = ["a", "é", "Z", " ", " ", "  ", "\n", "\t", "\r", "\x0b", "'s", "'", "7", "!", ",", "(", "…", "\x00", "\x85", "\xa0", "\u2028", "\x1c", "<|endoftext|>", "日", "longer than that"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 60))) for _ in range(3000)] + ["x" * 3000, "", "y" * 23, "y" * 24, " " + "é" * 11 + "a"]
+    encoder, encoded = tf.ChunkEncoder(vocabulary, specials_as_text=plain), library(vocabulary, plain)
+    for at in range(0, len(texts), 700):
+        for t, ids in zip(texts[at : at + 700], encoder.encode_all(texts[at : at + 700]), strict=True):
+            assert ids.tolist() == encoded(t), repr(t)
+
+
+def test_special_strings(spark, vocabulary, tmp_path):
+    """The library's default, and a table that is read back from its files alone."""
+    df = spark.createDataFrame([(1, "a <|endoftext|> b"), (2, None), (3, "c")], "doc_id long, text string")
+    path = str(tmp_path / "tokens")
+    tf.write_tokens(df, vocabulary, path=path)
+    got = rows(tf.read_tokens(spark.newSession().read.parquet(path)), "doc_id", "n_tokens", "ids_crc32")
+    want = [library(vocabulary)(t) for t in ("a <|endoftext|> b", None, "c")]
+    assert 50256 in want[0] and got == [(i, len(w), zlib.crc32(np.array(w, "<u4").tobytes())) for i, w in enumerate(want, 1)]
+    with pytest.raises(ValueError, match="no code"):
+        tf.read_tokens(spark.read.parquet(path).where("first_token >= 0"))
 
 
 @pytest.mark.parametrize(("n", "limit"), [(1, 18), (2, 18), (50, 18), (50, 6), (3000, 12)])
@@ -83,9 +89,9 @@ def test_code_lengths_are_optimal():
 
 
 def test_empty(no_docs, vocabulary):
-    assert tf.read_tokens(*tf.write_tokens(no_docs, vocabulary)).count() == 0
+    assert tf.read_tokens(tf.write_tokens(no_docs, vocabulary)).count() == 0
 
 
 def test_null_ids(spark, vocabulary):
     df = spark.createDataFrame([(2, "b"), (None, "a")], "doc_id long, text string")
-    assert rows(tf.read_tokens(*tf.write_tokens(df, vocabulary)), "doc_id", "start", "n_tokens") == [(2, 2, 2), (None, 0, 2)]
+    assert rows(tf.read_tokens(tf.write_tokens(df, vocabulary)), "doc_id", "start", "n_tokens") == [(2, 2, 2), (None, 0, 2)]
