@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from canopy.llm.personal_data import personal_data
 
@@ -57,5 +58,29 @@ def test_further_spans_and_scores(spark):
     assert got[1].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_account_numbers_and_secrets(spark):
+    texts = [
+        (1, "IBAN GB82 WEST 1234 5698 7654 32 BIC NWBKGB2L"),
+        (2, "IBAN DE89370400440532013000 BIC COBADEFFXXX"),
+        (3, "GB82 WEST 1234 5698 7654 32 Bank and GB82WEST12345698765432X"),
+        (4, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and TOKEN = "internationalisation", password: hunter2'),
+        (5, "10.1.2.3 is our host"),
+        (6, "ipsum 10.1.2.4 hostility"),
+    ]
+    got = {r.doc_id: r for r in personal_data(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert [got[i].spans for i in (1, 2, 3, 4)] == ["iban:5:32", "iban:5:27", "iban:0:27", "secret:0:49"]
+    assert [got[i].n_spans for i in (1, 2, 3, 4, 5, 6)] == [1, 1, 1, 1, 1, 1]
+    assert [got[i].scored[0].score > 0.8 for i in (5, 6)] == [True, False]
+
+
+def test_many_matches_in_one_text(spark):
+    """50,000 of each of two kinds, and texts without end; the work must not grow with the square."""
+    made = ["a@b.c 1.2.3.4 " * 50_000, "+1 (499) 555-6503, " * 20_000, "4785380592391139 x" * 5_000, "GB82 " * 20_000, "token = " * 20_000]
+    began = time.time()
+    got = rows(personal_data(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")), *COLS)
+    assert got == [brute(i, t) for i, t in enumerate(made)]
+    assert time.time() - began < 120
+
+
 def test_empty(no_docs):
     assert personal_data(no_docs).count() == 0
