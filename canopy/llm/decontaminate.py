@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from canopy.functions.storage import settle
-from canopy.llm.common import as_bytes, column, slices, small_batches
+from canopy.llm.common import as_bytes, column, held, slices, small_batches
 
 #: Words of items in one automaton; larger sets of items take several, one pass over the documents each.
 BLOCK_WORDS = 200_000
@@ -41,7 +41,7 @@ class ItemAutomaton:
     items of fewer words that are suffixes of v's longest string.
     """
 
-    def __init__(self, items: Iterable[tuple[str, bytes]], window: int = WINDOW):
+    def __init__(self, items: Iterable[tuple[str | None, bytes]], window: int = WINDOW):
         self.window = window
         self.vocab: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
@@ -72,9 +72,9 @@ class ItemAutomaton:
                     names.setdefault(self.anchor[v], set()).add(name)
             if len(ids) < window:
                 own.setdefault(v, {}).setdefault(len(ids), set()).add(name)
-        self.items = {v: tuple(sorted(s)) for v, s in names.items()}
+        self.items = {v: tuple(s) for v, s in names.items()}
         for v in order[1:]:
-            mine = tuple((size, tuple(sorted(s))) for size, s in own.get(v, {}).items())
+            mine = tuple((size, tuple(s)) for size, s in own.get(v, {}).items())
             self.shorts[v] = mine + self.shorts[self.link[v]]
 
     def _extend(self, last: int, c: int) -> int:
@@ -140,10 +140,10 @@ class ItemAutomaton:
         return hit, found
 
 
-def blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, bytes]]]:
+def blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str | None, bytes]]]:
     """Items in blocks of bounded size, streamed through the driver."""
     block, size = [], 0
-    rows = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
+    rows = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
     for name, text in rows.toLocalIterator():
         raw = text.encode()
         block.append((name, raw))
@@ -157,7 +157,7 @@ def blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tu
 
 def _scan(shared, window):
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = ItemAutomaton(pickle.loads(shared.value), window)
+        auto = held(("op6", shared.value, window), lambda: ItemAutomaton(pickle.loads(shared.value), window))
         for b in slices(batches):
             hits, items = [], []
             before = zip(column(b, "hit").to_pylist(), column(b, "items").to_pylist(), strict=True)
@@ -166,7 +166,7 @@ def _scan(shared, window):
                 if hit and old:
                     hit = (int.from_bytes(hit, "big") | int.from_bytes(old, "big")).to_bytes(len(old), "big")
                 hits.append(bytes(hit) if hit else old)
-                items.append(sorted(found.union(names or ())) or None)
+                items.append(sorted(found.union(names or ()) - {None}) or None)
             found = {"hit": pa.array(hits, pa.binary()), "items": pa.array(items, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays([found.get(n, c) for n, c in zip(b.schema.names, b.columns, strict=True)], names=b.schema.names)
 
@@ -179,8 +179,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_wo
     ``hit`` has a byte per word, 1 inside an occurrence of a window, or is null
     if there is none; ``items`` are the ids of the items that occur.  A window is
     ``window`` consecutive words of an item, or all words of a shorter item.  Null
-    texts have no words; items without an id or words are left out.  One block
-    of items is held at a time; each further block is one more pass.
+    texts have no words.  An item without an id is looked for like any other, but
+    it is not listed; items that share an id count once.  One block of items is
+    held at a time; each further block is one more pass.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -233,7 +234,9 @@ def decontaminate(
     clean_text) and the columns ``keep``, a row per row of ``docs``.  ``clean_text``
     lacks the spans of hit words; it is null if the text is null or if more than
     ``max_coverage`` of its words are hit, in which case the document should go.
+    Columns of ``keep`` that have the name of a result are passed over.
     """
+    keep = tuple(k for k in keep if k not in _RESULT.names and k != "text")
     made = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, clean_text string"
     schema = StructType([*StructType.fromDDL(made).fields, *(docs.schema[k] for k in keep)])
     return find_leaks(docs, items, window, block_words, keep).mapInArrow(_report(max_coverage, keep), schema)

@@ -90,7 +90,9 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, keep: tu
     lines without blanks at both ends and with A-Z lower-cased; keys under
     ``min_chars`` code points always stay.  Repeats of a line inside the
     document that keeps it stay.  Rows that share a doc_id count as one document.
+    Columns of ``keep`` that have the name of a result are passed over.
     """
+    keep = tuple(k for k in keep if k not in ("doc_id", "n_lines", "n_dropped", "kept_text", "text"))
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *keep)
     marks = dropped_bitmaps(base, min_chars, min_docs)
     both = key_join(base.select("*", document_key()[1]), marks)

@@ -21,12 +21,12 @@ def brute(texts, items, window=10):
         hit, found = [0] * len(w), set()
         for name, item in items:
             x = words(item)
-            if name is None or not x:
+            if not x:
                 continue
             for win in [x] if len(x) < window else [x[k : k + window] for k in range(len(x) - window + 1)]:
                 for k in range(len(w) - len(win) + 1):
                     if w[k : k + len(win)] == win:
-                        found.add(str(name))
+                        found.update([str(name)] if name is not None else [])
                         hit[k : k + len(win)] = [1] * len(win)
         out.append((i, len(w), sum(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), any(hit)))
     return sorted(out, key=repr)
@@ -56,6 +56,14 @@ def test_cleaning(spark):
     assert dict(rows(decontaminate(docs, items, max_coverage=None), "doc_id", "clean_text"))[2] == ""
 
 
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "w3 w4", 5, "x")], "doc_id long, text string, n_words long, lang string")
+    items = spark.createDataFrame([(None, "w3")], "item_id long, text string")
+    out = decontaminate(docs, items, max_coverage=None, keep=("n_words", "lang", "text", "doc_id"))
+    assert out.columns == [*COLS, "clean_text", "lang"]
+    assert out.first().asDict() | {"items_sha256": ""} == {"doc_id": 1, "n_words": 2, "n_hit": 1, "n_items": 0, "items_sha256": "", "contaminated": True, "clean_text": " w4", "lang": "x"}
+
+
 def test_empty_tables(spark, docs, no_docs, texts):
     items = spark.createDataFrame([], "item_id long, text string")
     assert not any(r.contaminated for r in decontaminate(docs, items).collect())
