@@ -7,6 +7,7 @@ executor (or a replacement for a lost one) can read it again.
 
 from __future__ import annotations
 
+import posixpath
 import tempfile
 import uuid
 
@@ -36,3 +37,15 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_root(spark)}/canopy/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``settle`` wrote, once nothing reads them any more; others are left alone."""
+    for table in tables:
+        spark = table.sparkSession
+        own = posixpath.join(shared_root(spark), "canopy") + "/"
+        bare = own.removeprefix("file:").lstrip("/")
+        for folder in {posixpath.dirname(f) for f in table.inputFiles()}:
+            if bare in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -4,7 +4,8 @@ Nodes are named by heap path: the root is 1, the children of n are 2n and 2n+1.
 A node of more than ``leaf_size`` points splits its widest dimension at the
 upper median; smaller values go left.  Large nodes are split level by level with
 pre-aggregated counts, never by sorting a node in one task; once a node fits
-``local_points`` it is finished in one task by NumPy.
+``local_points`` it is finished in one task by NumPy.  A sketch of a sample can
+stand for the upper levels: for a whole index, or to deal an index over parts.
 """
 
 from __future__ import annotations
@@ -17,12 +18,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.config import Config
-from canopy.functions.storage import settle
+from canopy.functions.storage import release, settle
 from canopy.sources.points import dims
 
-LOCAL_POINTS = 20_000
-#: Ranks around the median that the bracket of a sketch leaves open, as a share of the node.
-BRACKET = 0.01
+#: Coordinates of the points of a node that is finished in one task.
+LOCAL_VALUES = 1 << 19
+#: Bars of a histogram, and points that are ranked in one task to find a median; more are narrowed by histograms first.
+BARS, RANKED = 1024, 1 << 16
 
 
 @dataclass(frozen=True)
@@ -30,10 +32,12 @@ class Index:
     points: DataFrame  # id, d0.., leaf_id
     nodes: DataFrame  # node_id, parent_id, depth, is_leaf, split_dim, split_value, n_points, lo, hi, degenerate
     config: Config
+    #: Batches of changes since the points were last written as one table.
+    pending: int = 0
 
     def unpersist(self) -> None:
-        self.points.unpersist()
-        self.nodes.unpersist()
+        """Delete the tables that were written for this index; it cannot be read after that."""
+        release(self.points, self.nodes)
 
     def save(self, path: str) -> None:
         self.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
@@ -44,13 +48,17 @@ class Index:
         return cls(spark.read.parquet(f"{path}/points"), spark.read.parquet(f"{path}/nodes"), config or Config())
 
 
+def local_limit(points: DataFrame) -> int:
+    return max(1, LOCAL_VALUES // max(1, len(dims(points))))
+
+
 def widest(points: DataFrame, by: list[str]) -> DataFrame:
-    """Per group: n, split_dim (widest range in FLOAT, ties to the lowest) and the range."""
+    """Per group: n, split_dim (widest range in FLOAT, ties to the lowest), the range, and its ends low and high."""
     cols = dims(points)
-    spans = [F.struct((F.max(c) - F.min(c)).alias("span"), F.lit(-k).alias("neg")) for k, c in enumerate(cols)]
+    spans = [F.struct((F.max(c) - F.min(c)).alias("span"), F.lit(-k).alias("neg"), F.min(c).alias("low"), F.max(c).alias("high")) for k, c in enumerate(cols)]
     best = F.array_max(F.array(*spans))
     return points.groupBy(*by).agg(F.count("*").alias("n"), best.alias("w")).select(
-        *by, "n", (-F.col("w.neg")).alias("split_dim"), F.col("w.span").alias("span")
+        *by, "n", (-F.col("w.neg")).alias("split_dim"), F.col("w.span").alias("span"), F.col("w.low").alias("low"), F.col("w.high").alias("high")
     )
 
 
@@ -58,27 +66,39 @@ def _chosen(points: DataFrame) -> Column:
     return F.get(F.array(*dims(points)), F.col("split_dim"))
 
 
-def split_values(points: DataFrame, wide: DataFrame, by: list[str]) -> DataFrame:
-    """Adds split_value to groups: the value at offset n div 2, or the next larger one if nothing is below it.
+def split_values(points: DataFrame, wide: DataFrame, by: list[str], ranked: int = RANKED) -> DataFrame:
+    """Adds split_value to groups of ``wide``: the value at offset n div 2, or the next larger one if nothing is below it.
 
-    A sketch brackets the median; only distinct values within the bracket are
-    ranked, with their counts.  Groups without spread have no split.
+    Histograms with pre-aggregated counts narrow the range of the median until it
+    holds at most ``ranked`` points or a single value; only those are ranked.
+    Groups without spread have no split.
     """
-    rows = points.join(wide.where("span > 0"), by).withColumn("v", _chosen(points))
-    near = rows.groupBy(*by).agg(
-        F.percentile_approx("v", F.array(F.lit(0.5 - BRACKET), F.lit(0.5 + BRACKET)), F.lit(2000)).alias("b"), F.min("v").alias("low"), F.any_value("n").alias("n")
+    target = F.floor(F.col("n") / 2)
+    rows = points.join(wide.where("span > 0").select(*by, "split_dim"), by).withColumn("v", _chosen(points)).select(*by, "v")
+    near = wide.where("span > 0").select(
+        *by, "n", "low", F.col("low").alias("a"), F.col("high").alias("z"), F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"), F.lit(None).cast("float").alias("above")
     )
-    near = settle(near.select(*by, F.get("b", 0).alias("a"), F.get("b", 1).alias("z"), "low", F.col("n").alias("total")), "brackets")
-    rows = rows.join(near, by)
-    below = rows.groupBy(*by).agg(F.sum((F.col("v") < F.col("a")).cast("long")).alias("below"))
-    counts = rows.where("v between a and z").groupBy(*by, "v").agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.join(below, by).join(near, by).withColumn("upto", F.col("below") + F.sum("c").over(w))
-    median = ranked.where(F.col("upto") > F.floor(F.col("total") / 2)).groupBy(*by).agg(F.min("v").alias("median"), F.any_value("low").alias("low"))
-    median = settle(median, "medians")
-    lifted = points.join(wide.where("span > 0"), by).withColumn("v", _chosen(points)).join(median.where("median = low"), by).where("v > median")
-    lifted = lifted.groupBy(*by).agg(F.min("v").alias("above"))
-    return wide.join(median, by, "left").join(lifted, by, "left").withColumn("split_value", F.coalesce("above", "median")).select(*by, "n", "split_dim", "span", "split_value")
+    state = [*by, "n", "low", "a", "z", "below", "inside", "above"]
+    is_open = (F.col("inside") > ranked) & (F.col("a") < F.col("z"))
+    while not near.where(is_open).isEmpty():
+        place = (F.col("v").cast("double") - F.col("a")) / (F.col("z").cast("double") - F.col("a"))
+        held = rows.join(near.where(is_open).select(*by, "a", "z"), by).where("v between a and z")
+        bars = held.groupBy(*by, F.least(F.floor(place * BARS), F.lit(BARS - 1)).alias("bar")).agg(F.count("*").alias("c"), F.min("v").alias("first"), F.max("v").alias("last"))
+        order = Window.partitionBy(*by).orderBy("bar")
+        upto = F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0))
+        bars = bars.select(*by, "c", "first", "last", upto.alias("upto"), F.min("first").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("next"))
+        hit = bars.join(near.select(*by, "n", "low", "below", "above"), by).where((F.col("below") + F.col("upto") > target) & (F.col("below") + F.col("upto") - F.col("c") <= target))
+        hit = hit.select(
+            *by, "n", "low", F.col("first").alias("a"), F.col("last").alias("z"), (F.col("below") + F.col("upto") - F.col("c")).alias("below"), F.col("c").alias("inside"), F.coalesce("next", "above").alias("above")
+        )
+        near = settle(near.where(~is_open).unionByName(hit).select(*state), "brackets")
+    counts = rows.join(near.select(*by, "a", "z"), by).where("v between a and z").groupBy(*by, "v").agg(F.count("*").alias("c"))
+    order = Window.partitionBy(*by).orderBy("v")
+    values = counts.select(*by, "v", F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.lead("v").over(order).alias("next"))
+    found = values.join(near.select(*by, "n", "low", "below", "above"), by).where(F.col("below") + F.col("upto") > target)
+    found = found.groupBy(*by).agg(F.min(F.struct("v", "next")).alias("m"), F.any_value("low").alias("low"), F.any_value("above").alias("above"))
+    cut = F.when(F.col("m.v") > F.col("low"), F.col("m.v")).otherwise(F.coalesce("m.next", "above"))
+    return wide.join(found.select(*by, cut.alias("split_value")), by, "left").select(*by, "n", "split_dim", "span", "split_value")
 
 
 def grow(x: np.ndarray, root: int, leaf_size: int) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
@@ -111,14 +131,17 @@ def ancestors(node: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), depth_of(node)), lambda k: F.call_function("shiftright", node, k))
 
 
-def summarise(points: DataFrame, splits: DataFrame, leaf_size: int) -> DataFrame:
-    """The table of nodes from leaf ids and splits: sums and bounds roll up from pre-aggregated leaves."""
+def leaf_sums(points: DataFrame) -> DataFrame:
+    """(leaf_id, n, lo, hi) of the leaves of ``points``."""
     cols = dims(points)
-    leaves = points.groupBy("leaf_id").agg(F.count("*").alias("n"), *[F.min(c).alias(f"lo{k}") for k, c in enumerate(cols)], *[F.max(c).alias(f"hi{k}") for k, c in enumerate(cols)])
-    up = leaves.withColumn("node_id", F.explode(ancestors(F.col("leaf_id"))))
-    ks = range(len(cols))
+    return points.groupBy("leaf_id").agg(F.count("*").alias("n"), F.array(*[F.min(c) for c in cols]).alias("lo"), F.array(*[F.max(c) for c in cols]).alias("hi"))
+
+
+def roll_up(leaves: DataFrame, splits: DataFrame, leaf_size: int, k: int) -> DataFrame:
+    """The table of nodes from the sums of leaves and the splits: sums and bounds go up the paths."""
+    up = leaves.select("n", "lo", "hi", F.explode(ancestors(F.col("leaf_id"))).alias("node_id"))
     rolled = up.groupBy("node_id").agg(
-        F.sum("n").alias("n_points"), F.array(*[F.min(f"lo{k}") for k in ks]).alias("lo"), F.array(*[F.max(f"hi{k}") for k in ks]).alias("hi")
+        F.sum("n").alias("n_points"), F.array(*[F.min(F.get("lo", i)) for i in range(k)]).alias("lo"), F.array(*[F.max(F.get("hi", i)) for i in range(k)]).alias("hi")
     )
     leaf = F.col("split_dim").isNull()
     return rolled.join(splits, "node_id", "left").select(
@@ -127,6 +150,11 @@ def summarise(points: DataFrame, splits: DataFrame, leaf_size: int) -> DataFrame
     )
 
 
+def summarise(points: DataFrame, splits: DataFrame, leaf_size: int) -> DataFrame:
+    """The table of nodes from leaf ids and splits."""
+    return roll_up(leaf_sums(points), splits, leaf_size, len(dims(points)))
+
+
 def _finish(points: DataFrame, splits: list[DataFrame], config: Config) -> Index:
     """Finish nodes that fit a task.  ``points`` has node_id and ``done`` (nothing left to split)."""
     cols, leaf_size = dims(points), config.leaf_size
@@ -148,10 +176,12 @@ def _finish(points: DataFrame, splits: list[DataFrame], config: Config) -> Index
     all_splits = grown.where("split_dim is not null").select(F.col("leaf_id").alias("node_id"), "split_dim", "split_value")
     for s in splits:
         all_splits = all_splits.unionByName(s)
-    return Index(rows, settle(summarise(rows, all_splits, leaf_size), "nodes"), config)
+    index = Index(rows, settle(summarise(rows, all_splits, leaf_size), "nodes"), config)
+    release(grown, *splits)
+    return index
 
 
-def build_exact(points: DataFrame, config: Config | None = None, local_points: int = LOCAL_POINTS, root: int = 1) -> Index:
+def build_exact(points: DataFrame, config: Config | None = None, local_points: int | None = None, root: int = 1) -> Index:
     """The exact index.  Levels above ``local_points`` take a fixed number of aggregations each."""
     config = config or Config(dimensions=len(dims(points)))
     cols = dims(points)
@@ -159,24 +189,30 @@ def build_exact(points: DataFrame, config: Config | None = None, local_points: i
     return continue_exact(settle(start, "level"), config, local_points)
 
 
-def continue_exact(cur: DataFrame, config: Config, local_points: int) -> Index:
-    """Split from the nodes that the points are at (node_id; ``done`` if there is nothing to split)."""
+def continue_exact(cur: DataFrame, config: Config, local_points: int | None = None, splits: list[DataFrame] | None = None) -> Index:
+    """Split from the nodes that the points are at (node_id; ``done`` if there is nothing to split).
+
+    ``cur`` is a settled table of its own, deleted when the next level is written;
+    ``splits`` are those of the levels above.
+    """
     cols = dims(cur)
-    splits: list[DataFrame] = []
+    splits, limit = list(splits or []), max(local_points or local_limit(cur), config.leaf_size)
     while True:
-        wide = widest(cur.where("not done"), ["node_id"])
-        large = settle(wide.where((F.col("n") > max(local_points, config.leaf_size))), "wide")
+        large = settle(widest(cur.where("not done"), ["node_id"]).where(F.col("n") > limit), "wide")
         if large.isEmpty():
-            return _finish(cur, splits, config)
-        found = settle(split_values(cur, large, ["node_id"]), "splits").select("node_id", "split_dim", "split_value")
+            index = _finish(cur, splits, config)
+            release(cur, large)
+            return index
+        found = settle(split_values(cur, large, ["node_id"]).select("node_id", "split_dim", "split_value"), "splits")
         splits.append(found.where("split_value is not null"))
         right = (_chosen(cur) >= F.col("split_value")).cast("long")
         moved = cur.join(found.withColumn("met", F.lit(True)), "node_id", "left")
-        cur = moved.select(
+        moved = moved.select(
             "id", *cols, F.when(F.col("split_value").isNotNull(), F.col("node_id") * 2 + right).otherwise(F.col("node_id")).alias("node_id"),
             (F.col("done") | (F.col("met").isNotNull() & F.col("split_value").isNull())).alias("done"),
         )
-        cur = settle(cur, "level")
+        cur, old = settle(moved, "level"), cur
+        release(old, large)
 
 
 def sketch(sample: np.ndarray, height: int) -> list[tuple[int, int, float]]:
@@ -211,24 +247,59 @@ def route(splits: list[tuple[int, int, float]], cols: list[str], node: int = 1)
     return below(node)
 
 
-def build_sampled(points: DataFrame, config: Config | None = None, seed: int = 7) -> Index:
-    """A sketch of a bounded sample routes the points to buckets, which are finished apart; buckets too large are split exactly."""
-    config = config or Config(dimensions=len(dims(points)))
-    cols, want = dims(points), config.chunk_size * config.oversampling
+def _sketched(points: DataFrame, config: Config, height: int, want: int, seed: int) -> list[tuple[int, int, float]]:
+    """Splits of a sample of about ``want`` points; twice as many reach the driver at most."""
     n = points.count()
-    sample = points.sample(True, min(1.0, 1.3 * want / max(n, 1)), seed).limit(2 * want).select(*cols).toPandas().to_numpy(np.float32)
-    splits = sketch(sample, config.sketch_height) if n > config.leaf_size else []
-    spark = points.sparkSession
+    if n <= config.leaf_size:
+        return []
+    sample = points.sample(True, min(1.0, 1.3 * want / n), seed).limit(2 * want).select(*dims(points)).toPandas().to_numpy(np.float32)
+    return sketch(sample, height)
+
+
+def _from_sketch(points: DataFrame, splits: list[tuple[int, int, float]], config: Config) -> Index:
+    cols = dims(points)
     routed = points.select("id", *cols, route(splits, cols).alias("node_id"), F.lit(False).alias("done"))
-    table = spark.createDataFrame(splits, "node_id long, split_dim int, split_value float")
-    # splits whose one side got no point of the table stand for their parent: such nodes simply have no row
-    return _finish(settle(routed, "routed"), [table], config)
+    # a split with no point of the table on one side has no row for that side
+    table = points.sparkSession.createDataFrame(splits, "node_id long, split_dim int, split_value float")
+    return continue_exact(settle(routed, "routed"), config, splits=[table])
+
+
+def build_sampled(points: DataFrame, config: Config | None = None, seed: int = 7) -> Index:
+    """A sketch of a bounded sample routes the points to buckets, which are finished apart; buckets over the local limit are split exactly first."""
+    config = config or Config(dimensions=len(dims(points)))
+    splits = _sketched(points, config, config.sketch_height, config.chunk_size * config.oversampling, seed)
+    return _from_sketch(points, splits, config)
+
+
+def assign(points: DataFrame, splits: list[tuple[int, int, float]], n_parts: int) -> DataFrame:
+    """``points`` with their bucket in a sketch, and the part that has the bucket."""
+    bucket = route(splits, dims(points))
+    return points.withColumn("bucket", bucket).withColumn("part_id", F.pmod(F.col("bucket"), F.lit(n_parts)).cast("int"))
+
+
+def build_parts(points: DataFrame, config: Config | None = None, seed: int = 7) -> tuple[Index, DataFrame]:
+    """An index dealt over ``n_parts`` parts, and (bucket, part_id, n) of the buckets.
+
+    A sample of n_parts * oversampling points gives a sketch with a bucket for each
+    part or more; bucket b goes to part b mod n_parts, where its subtree is built.
+    """
+    config = config or Config(dimensions=len(dims(points)))
+    height = max(0, (config.n_parts - 1).bit_length())
+    splits = _sketched(points, config, height, config.n_parts * config.oversampling, seed)
+    index = _from_sketch(points, splits, config)
+    return index, settle(assign(points, splits, config.n_parts).groupBy("bucket", "part_id").agg(F.count("*").alias("n")), "buckets")
+
+
+def part_of_nodes(nodes: DataFrame, buckets: DataFrame) -> DataFrame:
+    """``nodes`` with the part that has their bucket; null for nodes above the buckets."""
+    up = nodes.select("node_id", F.explode(ancestors(F.col("node_id"))).alias("bucket"))
+    return nodes.join(up.join(buckets.select("bucket", "part_id"), "bucket").drop("bucket"), "node_id", "left")
 
 
 def build(points: DataFrame, config: Config | None = None, mode: str = "auto") -> Index:
-    """``exact``, ``sampled``, or by size: sampled from chunk_size * oversampling points on."""
+    """``exact``, ``sampled``, ``parts``, or by size: sampled from chunk_size * oversampling points on."""
     config = config or Config(dimensions=len(dims(points)))
     if mode == "auto":
         limit = config.chunk_size * config.oversampling
         mode = "exact" if points.limit(limit).count() < limit else "sampled"
-    return build_exact(points, config) if mode == "exact" else build_sampled(points, config)
+    return {"exact": build_exact, "sampled": build_sampled, "parts": lambda p, c: build_parts(p, c)[0]}[mode](points, config)

@@ -2,59 +2,108 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopy.functions.storage import settle
 from canopy.operators.graph import components
-from canopy.operators.search import radius_pairs
+from canopy.operators.search import _norm, _numbers, cell_of, radius_pairs
 from canopy.sources.points import dims
 
+#: Points that are compared with all others by a scan, at a time.
+SCAN = 512
+
 
 def dbscan(points: DataFrame, eps: float, min_points: int) -> DataFrame:
     """(id, kind, cluster): core, border or noise; a cluster is named by its smallest core id, noise is -1.
 
     Neighbours include the point itself and lie at most ``eps`` apart.  A border
     point goes to the smallest of the clusters it touches.
+
+    Pairs are counted as they are met and never written.  Core points in one
+    cell whose diagonal is under ``eps`` are neighbours, so only links between
+    cells are kept, once for two cells.
     """
-    pairs = settle(radius_pairs(points, eps), "pairs")
-    core = settle(pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= min_points).select(F.col("a").alias("core")), "core")
-    near = pairs.join(core, F.col("b") == F.col("core"), "left_semi")
-    links = near.join(core, F.col("a") == F.col("core"), "left_semi").where("a > b")
-    roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    named = core.join(roots, F.col("core") == F.col("u"), "left").select("core", F.coalesce("root", "core").alias("cluster"))
+    cols = dims(points)
+    near = radius_pairs(points, eps).groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= min_points)
+    core = points.join(near.select(F.col("a").alias("id")), "id", "left_semi").select("id", *cols)
+    # rint leaves a cell as wide as its step, so the diagonal is under eps
+    step = eps / max(len(cols), 1) ** 0.5 / (1 + 2.0**-18)
+    cell = F.array(*[cell_of(F.col(c), step) for c in cols])
+    # far out, quotients are too coarse to tell: there a point is a cell of its own
+    alone = F.when(F.exists(cell, lambda x: F.abs(x) >= 2.0**32), F.col("id"))
+    core = settle(core.withColumn("cell", F.struct(cell, alone)), "core")
+    cells = settle(core.groupBy("cell").agg(F.min("id").alias("low")), "cells")
+    core = settle(core.join(cells, "cell").select("id", *cols, "low"), "core")
+    low = core.select("id", "low")
+    pairs = radius_pairs(core.select("id", *cols), eps).where("a > b").select("a", "b")
+    links = pairs.join(low.select(F.col("id").alias("a"), F.col("low").alias("u")), "a").join(low.select(F.col("id").alias("b"), F.col("low").alias("v")), "b")
+    roots = components(links.select("u", "v").where("u <> v").distinct())
+    named = low.join(roots, F.col("low") == F.col("u"), "left").select("id", F.coalesce("root", "low").alias("cluster"))
     named = settle(named, "clusters")
-    border = near.join(core, F.col("a") == F.col("core"), "left_anti").join(named, F.col("b") == F.col("core"))
+    others = points.join(named.select("id"), "id", "left_anti").select("id", *cols)
+    border = radius_pairs(core.select("id", *cols), eps, others).join(named.withColumnRenamed("id", "b"), "b")
     border = border.groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("cluster")).withColumn("kind", F.lit("border"))
-    told = named.select(F.col("core").alias("id"), "cluster", F.lit("core").alias("kind")).unionByName(border)
+    told = named.select("id", "cluster", F.lit("core").alias("kind")).unionByName(border)
     return points.select("id").join(told, "id", "left").select("id", F.coalesce("kind", F.lit("noise")).alias("kind"), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
-def density_peaks(points: DataFrame, dc: float, scale: float = 4.0) -> DataFrame:
+def density_peaks(points: DataFrame, dc: float, scale: float = 4.0, scan: int = SCAN) -> DataFrame:
     """(id, rho, delta, parent): neighbours within ``dc`` (without the point), distance to the nearest denser point, and that point.
 
     Of equal rho the smaller id is denser; of equal distances the smaller id is the parent.
-    Points look for a denser one in growing grids; those that find none in a grid
-    as wide as the data are the peaks of everything: their delta is null.
+    Points look for a denser one in growing grids until at most ``scan`` are left, which are held against all points in one pass.
+    The densest point of all has no parent, and its delta is null.
     """
-    rho = radius_pairs(points, dc).groupBy(F.col("a").alias("id")).agg((F.count("*") - 1).alias("rho"))
-    dense = settle(points.join(rho, "id"), "rho")
     cols = dims(points)
-    span = max([float(x or 0) for x in points.agg(*[F.max(c).cast("double") - F.min(c).cast("double") for c in cols]).first()] or [0.0])
+    rho = radius_pairs(points, dc).groupBy(F.col("a").alias("id")).agg((F.count("*") - 1).alias("rho"))
+    dense = settle(points.select("id", *cols).join(rho, "id"), "rho")
     found, left, radius = None, dense, dc
-    while True:
+    while left.limit(scan + 1).count() > scan:
         r = dense.select(F.col("id").alias("b"), F.col("rho").alias("rb"))
         pairs = radius_pairs(dense.select("id", *cols), radius, left.select("id", *cols))
         pairs = pairs.join(left.select(F.col("id").alias("a"), F.col("rho").alias("ra")), "a").join(r, "b")
         pairs = pairs.where("rb > ra or (rb = ra and b < a)")
-        hit = settle(pairs.groupBy(F.col("a").alias("id")).agg(F.min(F.struct("distance", "b")).alias("m")), "peaks")
+        hit = settle(pairs.groupBy(F.col("a").alias("id")).agg(F.min(F.struct("distance", F.col("b").alias("parent"))).alias("m")), "peaks")
         found = hit if found is None else found.unionByName(hit)
         left = settle(left.join(hit, "id", "left_anti"), "left")
-        if radius >= span * len(cols) ** 0.5 + 1 or left.limit(2).count() <= 1:
-            break
         radius *= scale
+    rest = [(r.id, r.rho, *[float(r[c]) for c in cols]) for r in left.collect()]
+    if rest:
+        shared = points.sparkSession.sparkContext.broadcast(rest)
+        best = dense.mapInArrow(_nearest_denser(shared, cols), "id long, distance double, parent long")
+        hit = best.groupBy("id").agg(F.min(F.struct("distance", "parent")).alias("m"))
+        found = hit if found is None else found.unionByName(hit)
+    if found is None:
+        found = dense.select("id", F.struct(F.lit(0.0).alias("distance"), F.col("id").alias("parent")).alias("m"))
     out = dense.join(found, "id", "left")
-    return out.select("id", "rho", F.col("m.distance").alias("delta"), F.col("m.b").alias("parent"))
+    return out.select("id", "rho", F.col("m.distance").alias("delta"), F.col("m.parent").alias("parent"))
+
+
+def _nearest_denser(shared, cols: list[str]):
+    """For each of a few points, the nearest denser one of a batch."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = shared.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, rho = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("id", "rho"))
+            x, out = _numbers(b, cols), []
+            for own, r, *at in rest:
+                good = (rho > r) | ((rho == r) & (ids < own))
+                if good.any():
+                    d = _norm(np.array([at]) - x[good])
+                    k = np.lexsort((ids[good], d))[0]
+                    out.append((own, float(d[k]), int(ids[good][k])))
+            named = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(named, (pa.int64(), pa.float64(), pa.int64()), strict=True)], names=["id", "distance", "parent"])
+
+    return work
 
 
 def peak_labels(peaks: DataFrame, min_rho: float, min_delta: float) -> DataFrame:

@@ -27,12 +27,30 @@ def approximate(value: Column, n: Column, up: bool, beta: float = 2.0, seed: int
     return F.when(hit, moved).otherwise(value)
 
 
-def propagate(nodes: DataFrame, deltas: DataFrame) -> DataFrame:
-    """Exact updates: (leaf_id, weight) rows move the counters of all nodes above; a positive counter stops at 1."""
+def propagate(nodes: DataFrame, deltas: DataFrame, lowest: str = "exact", n: int | None = None, beta: float = 2.0, seed: int = 42) -> DataFrame:
+    """Updates: (leaf_id, weight) rows move the counters of all nodes above; a positive counter stops at 1.
+
+    With ``lowest="random"`` the lowest internal node above a leaf makes one random
+    update in the direction of the leaf's sum, as approximate counters do (``n`` is
+    the size of the tree), while the nodes above it move by the exact sums.
+    """
     sums = deltas.groupBy("leaf_id").agg(F.sum("weight").alias("w"))
-    sums = sums.withColumn("node_id", F.explode(ancestors(F.col("leaf_id")))).groupBy("node_id").agg(F.sum("w").alias("delta"))
+    up = sums.withColumn("node_id", F.explode(ancestors(F.col("leaf_id"))))
+    if lowest == "random":
+        up = up.where(F.col("node_id") <= F.shiftright("leaf_id", 2))
+    sums = sums.select("leaf_id", "w")
+    moves = up.groupBy("node_id").agg(F.sum("w").alias("delta"))
     moved = F.col("approx_counter") + F.coalesce("delta", F.lit(0))
-    return nodes.join(sums, "node_id", "left").withColumn("approx_counter", F.when(F.col("approx_counter") > 0, F.greatest(moved, F.lit(1).cast("long"))).otherwise(moved)).drop("delta")
+    out = nodes.join(moves, "node_id", "left").withColumn("approx_counter", F.when(F.col("approx_counter") > 0, F.greatest(moved, F.lit(1).cast("long"))).otherwise(moved)).drop("delta")
+    if lowest != "random":
+        return out
+    # two leaves may have one lowest node: the left one's update comes first
+    for side in (0, 1):
+        own = sums.where(F.pmod("leaf_id", F.lit(2)) == side).select(F.shiftright("leaf_id", 1).alias("node_id"), F.signum("w").alias("way"))
+        value = F.col("approx_counter")
+        up_, down = (approximate(value, F.lit(n), way, beta, seed + side) for way in (True, False))
+        out = out.join(own, "node_id", "left").withColumn("approx_counter", F.when(F.col("way") > 0, up_).when(F.col("way") < 0, down).otherwise(value)).drop("way")
+    return out
 
 
 def children(nodes: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.functions.storage import settle
+from canopy.functions.storage import release, settle
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -14,7 +14,7 @@ def _state(edges: DataFrame) -> tuple:
     )
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """Label the nodes of an undirected graph with the smallest id they reach.
 
     ``edges`` has two BIGINT columns ``u`` and ``v``; direction, repeats and
@@ -36,6 +36,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     if before[0] == 0:
         return cur.select("u", F.col("v").alias("root"))
     for _ in range(max_rounds):
+        start = cur
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = settle(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "cc")
         cur = (
@@ -43,6 +44,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .where("u <> v").distinct()
         )
         cur = settle(cur, "cc")
+        release(start, low)
+        middle = cur
         low = settle(cur.groupBy("u").agg(F.min("v").alias("m")), "cc")
         cur = (
             cur.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -50,6 +53,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .where("u <> v").distinct()
         )
         cur = settle(cur, "cc")
+        release(middle, low)
         after = _state(cur)
         if after == before:
             return cur.select("u", F.col("v").alias("root"))

@@ -7,7 +7,9 @@ import logging
 import shlex
 import subprocess
 import sys
+from dataclasses import replace
 
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from canopy.config import Config
@@ -23,7 +25,9 @@ def parser() -> argparse.ArgumentParser:
     sub = top.add_subparsers(dest="command", required=True)
     made = {name: sub.add_parser(name, aliases=[short], exit_on_error=False) for name, short in COMMANDS.items()}
     made["build"].add_argument("path")
-    made["build"].add_argument("-m", "--mode", choices=["auto", "exact", "sampled"], default="auto")
+    made["build"].add_argument("-m", "--mode", choices=["auto", "exact", "sampled", "parts"], default="auto")
+    made["build"].add_argument("-p", dest="mode", action="store_const", const="parts", help="over parts")
+    made["build"].add_argument("-c", dest="mode", action="store_const", const="exact", help="exact")
     for name in ("insert", "delete"):
         made[name].add_argument("path")
     made["knn"].add_argument("k", type=int)
@@ -32,7 +36,8 @@ def parser() -> argparse.ArgumentParser:
     made["dbscan"].add_argument("eps", type=float)
     made["dbscan"].add_argument("points", type=int)
     made["dpc"].add_argument("dc", type=float)
-    made["info"].add_argument("style", choices=["stats", "validate", "counters", "tree", "metrics"], nargs="?", default="stats")
+    made["info"].add_argument("style", choices=[*diagnose.STYLES, "totals", "metrics"], nargs="?", default="stats")
+    made["info"].add_argument("part", type=int, nargs="?", default=0)
     made["config"].add_argument("action", choices=["show", "load", "reset", "data"], nargs="?", default="show")
     made["config"].add_argument("path", nargs="?")
     return top
@@ -40,7 +45,7 @@ def parser() -> argparse.ArgumentParser:
 
 class Shell:
     def __init__(self, spark: SparkSession):
-        self.spark, self.settings, self.index, self.parser = spark, Config(), None, parser()
+        self.spark, self.settings, self.index, self.buckets, self.parser = spark, Config(), None, None, parser()
 
     def run(self, line: str):
         """Run one line; gives a DataFrame, a text, or None for quit."""
@@ -54,42 +59,51 @@ class Shell:
     def _points(self, path):
         return read_binary(self.spark, path)
 
+    def _built(self) -> build.Index:
+        if self.index is None:
+            raise ValueError("build an index first")
+        return self.index
+
     def build(self, a):
         points = self._points(a.path)
-        self.index = build.build(points, Config(dimensions=len(dims(points))), a.mode)
+        settings, self.buckets = replace(self.settings, dimensions=len(dims(points))), None
+        if a.mode == "parts":
+            self.index, self.buckets = build.build_parts(points, settings)
+        else:
+            self.index = build.build(points, settings, a.mode)
         return diagnose.stats(self.index.nodes)
 
     def insert(self, a):
-        self.index = update.insert(self.index, self._points(a.path))
+        self.index = update.insert(self._built(), self._points(a.path))
         return diagnose.stats(self.index.nodes)
 
     def delete(self, a):
-        self.index, n = update.delete(self.index, self._points(a.path))
+        self.index, n = update.delete(self._built(), self._points(a.path))
         return f"{n} points removed"
 
     def knn(self, a):
         query = self.spark.createDataFrame([(0, *a.at)], "id long, " + ", ".join(f"d{k} float" for k in range(len(a.at))))
-        return search.knn(self.index, query, a.k)
+        return search.knn(self._built(), query, a.k)
 
     def range(self, a):
-        return search.in_box(self.index.points, list(zip(a.bounds[::2], a.bounds[1::2], strict=True)))
+        return search.in_box(self._built().points, list(zip(a.bounds[::2], a.bounds[1::2], strict=True)))
 
     def dbscan(self, a):
-        return cluster.dbscan(self.index.points, a.eps, a.points)
+        return cluster.dbscan(self._built().points, a.eps, a.points)
 
     def dpc(self, a):
-        return cluster.density_peaks(self.index.points, a.dc)
+        return cluster.density_peaks(self._built().points, a.dc)
 
     def info(self, a):
         if a.style == "metrics":
             return str(diagnose.metrics(self.spark))
-        if a.style == "tree":
-            return diagnose.drawing(self.index)
-        return {"stats": diagnose.stats, "validate": diagnose.validate, "counters": diagnose.counter_report}[a.style](self.index.nodes)
+        if a.style == "totals":
+            return diagnose.memory(self._built())[1]
+        return diagnose.show_style(self._built(), a.style, self.buckets, a.part)
 
     def config(self, a):
         if a.action == "data":
-            return first_points(self.index.points)
+            return first_points(self._built().points)
         self.settings = Config.load(a.path) if a.action == "load" else Config() if a.action == "reset" else self.settings
         return str(self.settings)
 
@@ -106,17 +120,33 @@ class Shell:
         return None
 
 
+def set_logging(level: str = "INFO", stream=None) -> None:
+    """Where the log of the engine goes, and from which level on."""
+    for old in list(log.handlers):
+        log.removeHandler(old)
+    handler = logging.StreamHandler(stream)
+    handler.setFormatter(logging.Formatter("%(levelname)s %(message)s"))
+    log.addHandler(handler)
+    log.setLevel(level)
+
+
 def main() -> None:
+    set_logging()
     shell = Shell(SparkSession.builder.appName("canopy").getOrCreate())
-    for line in iter(lambda: input("> "), "\0"):
+    for line in sys.stdin:
         try:
             out = shell.run(line)
-        except (argparse.ArgumentError, SystemExit, ValueError) as e:
+        except (argparse.ArgumentError, SystemExit, ValueError, PySparkException) as e:
             log.error("%s", e)
             continue
         if out is None:
             return
-        out.show(truncate=False) if hasattr(out, "show") else print(out)
+        if hasattr(out, "show"):
+            print(diagnose.BOLD_RULE)
+            out.show(truncate=False)
+            print(diagnose.RULE)
+        else:
+            print(out)
 
 
 if __name__ == "__main__":

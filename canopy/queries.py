@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canopy.config import Config
 from canopy.operators import build as b
 from canopy.operators import cluster, counters, diagnose, placement, search, update
 from canopy.sources.points import as_points
@@ -31,6 +32,41 @@ def _c2(s, d):
 P2 = "p AS (SELECT p_partkey AS id, CAST(p_size AS FLOAT) AS d0, CAST(p_retailprice AS FLOAT) AS d1 FROM part)"
 L3 = "l AS (SELECT CAST(l_quantity AS FLOAT) AS d0, CAST(l_extendedprice AS FLOAT) AS d1, CAST(l_discount AS FLOAT) AS d2 FROM lineitem)"
 C2 = "c AS (SELECT c_custkey AS id, c_acctbal / 100 AS d0, CAST(c_nationkey * 4 AS DOUBLE) AS d1 FROM customer)"
+P2_ROWS = "SELECT p_partkey AS id, CAST(p_size AS FLOAT) AS d0, CAST(p_retailprice AS FLOAT) AS d1 FROM part"
+L3_ROWS = "SELECT 0 AS id, CAST(l_quantity AS FLOAT) AS d0, CAST(l_extendedprice AS FLOAT) AS d1, CAST(l_discount AS FLOAT) AS d2 FROM lineitem"
+O1_ROWS = "SELECT o_orderkey AS id, CAST(o_totalprice AS FLOAT) AS d0 FROM orders"
+
+
+def tree_sql(rows: str, k: int) -> str:
+    """The exact build in SQL: ``tree`` has a row per point and node on its path, ``nodes`` a row per node.
+
+    A step takes the points of the nodes of the level before that have more than 32 points and a spread, and splits each at the
+    value at offset n div 2 of its widest dimension, or at the next larger one if nothing is below.
+    """
+    cols = ", ".join(f"d{i}" for i in range(k))
+    spans = ", ".join(f"max(d{i}) OVER g - min(d{i}) OVER g AS w{i}" for i in range(k))
+    wide = f"greatest({', '.join(f'w{i}' for i in range(k))})" if k > 1 else "w0"
+    value = " ".join(f"WHEN w{i} = wide THEN d{i}" for i in range(k))
+    dim = " ".join(f"WHEN w{i} = wide THEN {i}" for i in range(k))
+    return f"""tree AS (
+  SELECT CAST(1 AS BIGINT) AS node_id, id, {cols}, CAST(NULL AS INT) AS p_dim, CAST(NULL AS FLOAT) AS p_cut FROM ({rows})
+  UNION ALL
+  SELECT 2 * node_id + CASE WHEN v >= cut THEN 1 ELSE 0 END, id, {cols}, dim, cut FROM (
+    SELECT *, CASE WHEN median > low THEN median ELSE min(CASE WHEN v > median THEN v END) OVER (PARTITION BY node_id) END AS cut FROM (
+      SELECT *, max(CASE WHEN nth = n // 2 + 1 THEN v END) OVER (PARTITION BY node_id) AS median, min(v) OVER (PARTITION BY node_id) AS low FROM (
+        SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY v) AS nth FROM (
+          SELECT *, CASE {value} END AS v, CASE {dim} END AS dim FROM (
+            SELECT *, {wide} AS wide FROM (
+              SELECT *, count(*) OVER g AS n, {spans} FROM tree WINDOW g AS (PARTITION BY node_id)))
+          WHERE n > 32 AND wide > 0))))),
+sizes AS (SELECT node_id, count(*) AS n FROM tree GROUP BY node_id),
+cuts AS (SELECT node_id // 2 AS node_id, any_value(p_dim) AS dim, any_value(p_cut) AS cut FROM tree WHERE node_id > 1 GROUP BY node_id // 2),
+nodes AS (
+  SELECT s.node_id, s.n, c.cut IS NULL AS is_leaf, c.dim, c.cut, CAST(floor(log2(s.node_id)) AS INT) AS depth, l.n AS left_n, r.n AS right_n
+  FROM sizes s LEFT JOIN cuts c USING (node_id) LEFT JOIN sizes l ON l.node_id = 2 * s.node_id LEFT JOIN sizes r ON r.node_id = 2 * s.node_id + 1)"""
+
+
+P2_TREE, L3_TREE, O1_TREE = (f"WITH RECURSIVE {tree_sql(rows, k)} " for rows, k in ((P2_ROWS, 2), (L3_ROWS, 3), (O1_ROWS, 1)))
 Q: dict = {}
 S: dict[str, str] = {}
 
@@ -115,7 +151,7 @@ def build_root_children(s, d):
     return nodes.select("node_id", "n_points", F.get("lo", 0).alias("lo0"), F.get("hi", 1).alias("hi1"))
 
 
-@query()
+@query(L3_TREE + "SELECT n AS n_points, count(*) AS leaves FROM nodes WHERE is_leaf GROUP BY n")
 def build_leaf_sizes(s, d):
     return b.build_exact(_l3(s, d)).nodes.where("is_leaf").groupBy("n_points").agg(F.count("*").alias("leaves"))
 
@@ -126,7 +162,7 @@ def build_sampled_points(s, d):
     return nodes.agg(F.sum("n_points").alias("points"), (F.max(F.when(~F.col("degenerate"), F.col("n_points"))) <= 32).alias("small_leaves"), (F.max("depth") > 3).alias("deep"))
 
 
-@query()
+@query(L3_TREE + "SELECT count(*) FILTER (NOT is_leaf) AS internal, count(*) FILTER (is_leaf) AS leaves, CAST(sum(n) FILTER (is_leaf) AS BIGINT) AS points, min(depth) AS min_depth, max(depth) AS max_depth, avg(n) FILTER (is_leaf) AS avg_leaf, max(n) FILTER (is_leaf) AS max_leaf, avg(n) FILTER (NOT is_leaf) AS avg_counter, max(CASE WHEN node_id = 1 THEN least(left_n, right_n) / (left_n + right_n) END) AS root_balance FROM nodes")
 def tree_stats(s, d):
     return diagnose.stats(b.build_exact(_l3(s, d)).nodes)
 
@@ -174,12 +210,62 @@ def scatter_level(s, d):
     return placement.placement(nodes, 10000, 4).groupBy("level").agg(F.count("*").alias("copies"))
 
 
-@query()
+LOAD = P2_TREE + """, c AS (SELECT node_id, n, unnest(CASE WHEN n > 32 AND n < 2000 THEN range(0, 8) ELSE [0] END) AS replica FROM nodes),
+k AS (SELECT *, CAST(CAST('0x' || substr(md5(node_id || ':' || replica), 1, 8) AS BIGINT) % 8 AS INT) AS part_id FROM c),
+per AS (SELECT part_id, count(*) AS nodes, count(*) FILTER (replica > 0) AS replicas, CAST(sum(n) AS BIGINT) AS points, CAST(sum(n * 12 + 64) AS BIGINT) AS bytes FROM k GROUP BY part_id)"""
+
+
+@query(LOAD + " SELECT part_id, nodes, replicas, points, bytes, nodes * 8 / (SELECT count(*) FROM k) AS load FROM per")
 def placement_load(s, d):
     nodes = b.build_exact(_p2(s, d)).nodes
     return placement.load(placement.placement(nodes, 2000, 8), 8)
 
 
+@query(LOAD + " SELECT CAST(sum(nodes) AS BIGINT) AS nodes, CAST(sum(replicas) AS BIGINT) AS replicas, CAST(sum(points) AS BIGINT) AS points, CAST(sum(bytes) AS BIGINT) AS bytes, sum(nodes) / 8 AS avg_nodes, sum(bytes) / 8 AS avg_bytes FROM per")
+def placement_totals(s, d):
+    return placement.load_totals(placement_load(s, d), 8)
+
+
+@query(LOAD + ", f AS (SELECT node_id, min_by(part_id, replica) AS part_id FROM k GROUP BY node_id) SELECT o_orderkey AS node_id, coalesce(part_id, CAST(CAST('0x' || substr(md5(o_orderkey || ':0'), 1, 8) AS BIGINT) % 8 AS INT)) AS part_id FROM orders LEFT JOIN f ON o_orderkey = f.node_id")
+def find_part(s, d):
+    """The part of each order's key taken as a node: registered for nodes of the index, hashed for others."""
+    placed = placement.placement(b.build_exact(_p2(s, d)).nodes, 2000, 8)
+    return placement.find_parts(_t(s, d, "orders").select(F.col("o_orderkey").alias("node_id")), placed, 8)
+
+
+@query(LOAD + " SELECT node_id, replica, part_id, CAST(coalesce(sum(n * 12) OVER (PARTITION BY part_id ORDER BY node_id, replica ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM k")
+def placement_offsets(s, d):
+    placed = placement.placement(b.build_exact(_p2(s, d)).nodes, 2000, 8)
+    return placement.offsets(placed).select("node_id", "replica", "part_id", "offset")
+
+
+@query(f"WITH {P2} SELECT count(*) AS points, TRUE AS small_leaves, TRUE AS spread, CAST(0 AS BIGINT) AS astray FROM p")
+def build_parts(s, d):
+    """The partitioned build over 8 parts: all points, leaves within the limit, several parts, and no node apart from its bucket's part."""
+    index, buckets = b.build_parts(_p2(s, d), Config(dimensions=2, n_parts=8, sketch_height=6))
+    nodes = b.part_of_nodes(index.nodes, buckets)
+    astray = nodes.where("is_leaf and part_id is null").agg(F.count("*").alias("astray"))
+    leaves = nodes.where("is_leaf").agg(F.sum("n_points").alias("points"), (F.max(F.when(~F.col("degenerate"), F.col("n_points"))) <= 32).alias("small_leaves"), (F.countDistinct("part_id") > 1).alias("spread"))
+    return leaves.crossJoin(astray)
+
+
+@query(f"WITH {P2} SELECT CAST({BUCKET} AS BIGINT) AS bucket, CAST({BUCKET} % 4 AS INT) AS part_id, count(*) AS n, min(id) AS first_id FROM p GROUP BY 1, 2")
+def sketch_assign(s, d):
+    return b.assign(_p2(s, d), SKETCH, 4).groupBy("bucket", "part_id").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+
+@query(P2_TREE + "SELECT t.id, t.node_id AS leaf_id, CAST(floor(log2(t.node_id)) AS INT) AS path_length FROM tree t SEMI JOIN (SELECT node_id FROM nodes WHERE is_leaf) l USING (node_id)")
+def locate_pushed(s, d):
+    """The leaf of each part, by pushing the points down the table of nodes."""
+    return search.locate(b.build_exact(_p2(s, d)), _p2(s, d), most=0).select("id", "leaf_id", "path_length")
+
+
+@query(P2_TREE + "SELECT t.id, t.node_id AS leaf_id, CAST(floor(log2(t.node_id)) AS INT) AS path_length FROM tree t SEMI JOIN (SELECT node_id FROM nodes WHERE is_leaf) l USING (node_id)")
+def locate_pulled(s, d):
+    """The same, by pulling the nodes to the points."""
+    return search.locate(b.build_exact(_p2(s, d)), _p2(s, d)).select("id", "leaf_id", "path_length")
+
+
 @query("SELECT part_id, count(*) AS n, min(id) AS first_id FROM (SELECT p_partkey AS id, ntile(64) OVER (ORDER BY p_partkey) - 1 AS part_id FROM part) GROUP BY part_id")
 def even_deal(s, d):
     return placement.even_deal(_p2(s, d), 64).groupBy("part_id").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
@@ -262,16 +348,45 @@ def validate_structure(s, d):
     return diagnose.validate(_tree(s, d))
 
 
-@query()
+@query(P2_TREE + "SELECT count(*) AS checked, count(*) FILTER (n / (left_n + right_n) NOT BETWEEN 0.5 AND 2) AS inconsistent, min(n / (left_n + right_n)) AS min_ratio, max(n / (left_n + right_n)) AS max_ratio, count(*) FILTER (n = 0) AS zero_counters FROM nodes WHERE NOT is_leaf")
 def counter_report(s, d):
     return diagnose.counter_report(b.build_exact(_p2(s, d)).nodes)
 
 
-@query()
+BRIEF = "CASE WHEN is_leaf THEN 'leaf n=' || n ELSE 'd' || dim || ' < ' || cut || ' n=' || n END"
+
+
+@query(P2_TREE + f"SELECT rpad(bin(node_id), 64, ' ') AS path, node_id, repeat('  ', depth) || {BRIEF} AS line FROM nodes WHERE depth <= 6")
 def tree_drawing(s, d):
     return diagnose.drawing(b.build_exact(_p2(s, d))).select("path", "node_id", "line")
 
 
+@query(P2_TREE + f"SELECT rpad(bin(node_id), 64, ' ') AS path, node_id, node_id || ': ' || {BRIEF} AS line FROM nodes")
+def tree_compact(s, d):
+    return diagnose.compact(b.build_exact(_p2(s, d)).nodes)
+
+
+FIRST = "f AS (SELECT node_id, string_agg(d0 || ',' || d1, '; ' ORDER BY id) AS first FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY id) AS k FROM tree) WHERE k <= 5 GROUP BY node_id), x AS (SELECT node_id, '[' || min(d0) || ' ' || max(d0) || '] [' || min(d1) || ' ' || max(d1) || ']' AS box FROM tree GROUP BY node_id)"
+DETAIL = "'node ' || node_id || ' parent ' || CASE WHEN node_id > 1 THEN CAST(node_id // 2 AS VARCHAR) ELSE 'none' END || ' depth ' || depth || ' n=' || n || ' | box ' || box || ' | ' || CASE WHEN is_leaf THEN 'leaf ' || first ELSE 'split d' || dim || ' < ' || cut || ' counter ' || n END"
+
+
+@query(P2_TREE + f", {FIRST} SELECT rpad(bin(node_id), 64, ' ') AS path, node_id, {DETAIL} AS line FROM nodes JOIN f USING (node_id) JOIN x USING (node_id)")
+def tree_detailed(s, d):
+    return diagnose.detailed(b.build_exact(_p2(s, d)))
+
+
+@query(P2_TREE + f", {FIRST} SELECT rpad(bin(node_id), 64, ' ') AS path, node_id, {DETAIL} AS line FROM nodes JOIN f USING (node_id) JOIN x USING (node_id) UNION ALL SELECT rpad(bin(node_id), 64, ' '), node_id, '  point ' || id || ' (' || d0 || ',' || d1 || ')' FROM tree SEMI JOIN (SELECT node_id FROM nodes WHERE is_leaf) l USING (node_id)")
+def tree_full(s, d):
+    return diagnose.full(b.build_exact(_p2(s, d)))
+
+
+@query(P2_TREE + f", a AS (SELECT node_id, unnest([node_id // CAST(2 ** i AS BIGINT) FOR i IN range(0, 20)]) AS up FROM nodes) SELECT rpad(bin(node_id), 64, ' ') AS path, node_id, node_id || ': ' || {BRIEF} AS line FROM nodes SEMI JOIN (SELECT node_id FROM a WHERE up IN (5, 7)) o USING (node_id)")
+def tree_on_part(s, d):
+    """The nodes of one part of an index whose nodes 4 to 7 are dealt over two parts by their number."""
+    buckets = s.createDataFrame([(4, 0), (5, 1), (6, 0), (7, 1)], "bucket long, part_id int")
+    return diagnose.on_part(b.build_exact(_p2(s, d)), buckets, 1)
+
+
 NEAR = f"{C2}, e AS (SELECT x.id AS a, y.id AS b FROM c x JOIN c y ON sqrt((x.d0 - y.d0) * (x.d0 - y.d0) + (x.d1 - y.d1) * (x.d1 - y.d1)) <= 3), core AS (SELECT a FROM e GROUP BY a HAVING count(*) >= 5), ce AS (SELECT e.* FROM e SEMI JOIN core c1 ON e.a = c1.a SEMI JOIN core c2 ON e.b = c2.a)"
 DB = f"WITH RECURSIVE {NEAR}, r AS (SELECT a, a AS root FROM core UNION SELECT ce.b, r.root FROM r JOIN ce ON ce.a = r.a), cl AS (SELECT a, min(root) AS cluster FROM r GROUP BY a), lab AS (SELECT c.id, CASE WHEN cl.a IS NOT NULL THEN 'core' WHEN bo.cluster IS NOT NULL THEN 'border' ELSE 'noise' END AS kind, coalesce(cl.cluster, bo.cluster, -1) AS cluster FROM c LEFT JOIN cl ON cl.a = c.id LEFT JOIN (SELECT e.a, min(cl.cluster) AS cluster FROM e JOIN cl ON e.b = cl.a GROUP BY e.a) bo ON bo.a = c.id)"
 
@@ -303,17 +418,17 @@ def dpc_labels(s, d):
 # tables: the nodes of a built index, all orders, and batches of a tenth of the points. Tests hold those without SQL to plain Python.
 
 
-@query()
+@query(P2_TREE + "SELECT node_id, left_n, right_n, greatest(left_n, right_n) > 3 * least(left_n, right_n) AS violates FROM nodes WHERE NOT is_leaf")
 def built_balance(s, d):
     return counters.violations(b.build_exact(_p2(s, d)).nodes)
 
 
-@query()
+@query(P2_TREE + "SELECT node_id, round(n / (left_n + right_n), 9) AS ratio, n / (left_n + right_n) BETWEEN 0.5 AND 2 AS consistent FROM nodes WHERE NOT is_leaf")
 def built_counter_ratio(s, d):
     return counters.consistency(b.build_exact(_p2(s, d)).nodes).select("node_id", F.round("ratio", 9).alias("ratio"), "consistent")
 
 
-@query()
+@query(P2_TREE + "SELECT node_id, 2 * n AS counter FROM nodes WHERE NOT is_leaf")
 def built_propagation(s, d):
     """Each point moves the counters above its leaf by one."""
     ix = b.build_exact(_p2(s, d))
@@ -321,7 +436,7 @@ def built_propagation(s, d):
     return counters.propagate(ix.nodes, moves).where("not is_leaf").select("node_id", F.col("approx_counter").alias("counter"))
 
 
-@query()
+@query(P2_TREE + "SELECT count(*) AS visited, CAST(0 AS BIGINT) AS self_cycles, count(*) FILTER (node_id > 1 AND node_id // 2 NOT IN (SELECT node_id FROM nodes)) AS invalid_parents, count(*) FILTER (NOT is_leaf AND left_n IS NULL AND right_n IS NULL) AS childless FROM nodes")
 def built_structure(s, d):
     return diagnose.validate(b.build_exact(_p2(s, d)).nodes)
 
@@ -356,6 +471,33 @@ def delete_missing_tenth(s, d):
     return ix.points.agg(F.lit(n).cast("long").alias("removed"), F.count("*").alias("points"))
 
 
+@query(P2_TREE + ", v AS (SELECT node_id FROM nodes WHERE NOT is_leaf AND greatest(left_n, right_n) * 10 > 11 * least(left_n, right_n)), a AS (SELECT node_id AS leaf_id, unnest([node_id // CAST(2 ** i AS BIGINT) FOR i IN range(0, 20)]) AS up FROM nodes WHERE is_leaf) SELECT leaf_id, max(up) AS node_id FROM a JOIN v ON up = v.node_id GROUP BY leaf_id")
+def first_imbalance(s, d):
+    """The nearest node above each leaf whose sides differ by more than a tenth."""
+    return counters.first_imbalance(b.build_exact(_p2(s, d)).nodes, 0.1)
+
+
+@query(O1_TREE + "SELECT node_id, depth, is_leaf, n AS n_points, dim AS split_dim, cut AS split_value FROM nodes")
+def build_one_dimension(s, d):
+    """The whole table of nodes over one dimension."""
+    return b.build_exact(as_points(_t(s, d, "orders"), "o_orderkey", ["o_totalprice"])).nodes.select("node_id", "depth", "is_leaf", "n_points", "split_dim", "split_value")
+
+
+FAR = "g AS (SELECT o_orderkey AS id, CAST((o_totalprice - 250000) * 4e9 AS FLOAT) AS d0, CAST(o_custkey * 1e11 AS FLOAT) AS d1 FROM orders)"
+
+
+def _far(s, d):
+    """Orders as points over the default range of the generator, 1e15 either way."""
+    return as_points(_t(s, d, "orders"), "o_orderkey", [(F.col("o_totalprice") - 250000) * 4e9, F.col("o_custkey") * 1e11])
+
+
+@query(f"WITH {FAR}, k AS (SELECT *, row_number() OVER (PARTITION BY d0, d1 ORDER BY id) AS i FROM g), r AS (SELECT d0, d1, count(*) AS n FROM g WHERE id % 10 = 3 GROUP BY ALL) SELECT k.id FROM k LEFT JOIN r USING (d0, d1) WHERE i > coalesce(n, 0)")
+def delete_far(s, d):
+    """A tenth of the points, far from the origin, is deleted again."""
+    pts = _far(s, d)
+    return update.delete(b.build_exact(pts), pts.where("id % 10 = 3"))[0].points.select("id")
+
+
 def queries() -> dict:
     return dict(Q)
 
