@@ -91,6 +91,41 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS raw, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+p AS (SELECT doc_id, raw, n, unnest(range(0, n)) AS i FROM d),
+w AS (
+  SELECT doc_id, i, raw[i + 1 : i + 1] AS byte,
+         CASE WHEN i + 400 <= n THEN hash(raw[i + 1 : i + 400]) END AS h400,
+         CASE WHEN i + 256 <= n THEN hash(raw[i + 1 : i + 256]) END AS h256
+  FROM p),
+f AS (
+  SELECT doc_id, i, byte,
+         CASE WHEN h400 IS NOT NULL AND count(*) OVER (PARTITION BY h400) > 1 THEN i END AS s400,
+         CASE WHEN h256 IS NOT NULL AND count(*) OVER (PARTITION BY h256) > 1 THEN i END AS s256
+  FROM w),
+g AS (
+  SELECT doc_id, i, byte,
+         max(s400) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 399 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone,
+         max(s256) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 255 PRECEDING AND CURRENT ROW) IS NOT NULL AS seen,
+         hex(byte) IN ('20', '09', '0A', '0B', '0C', '0D') AS blank
+  FROM f),
+e AS (
+  SELECT *, lag(gone, 1, FALSE) OVER x AS gone_before, lag(seen, 1, FALSE) OVER x AS seen_before, lag(blank, 1, TRUE) OVER x AS blank_before
+  FROM g WINDOW x AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT *, count(*) FILTER (seen AND NOT seen_before) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM e),
+q AS (SELECT doc_id, count(*) AS n_passages FROM (
+  SELECT doc_id, run FROM r WHERE seen GROUP BY doc_id, run HAVING count(*) FILTER (NOT blank AND (blank_before OR NOT seen_before)) > 50) GROUP BY doc_id),
+k AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (gone AND NOT gone_before) AS n_spans,
+         string_agg(hex(byte), '' ORDER BY i) FILTER (NOT gone) AS kept
+  FROM e GROUP BY doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, ''))) AS kept_sha256, coalesce(n_passages, 0) AS n_passages
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN q USING (doc_id)
+"""
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from canopy.llm.near_dedup import near_dedup
 
@@ -152,4 +187,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op6_decontaminate": OP6_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op6_decontaminate": OP6_SQL, "op7_suffix_dedup": OP7_SQL}
