@@ -13,6 +13,8 @@ from pyspark.sql.types import StructType
 
 #: Most bytes of text that one worker holds as Python objects at a time.
 SLICE_BYTES = 2 << 20
+#: Characters of all strings of a memo, for each string of its limit.
+LETTERS = 16
 #: New strings that a memo learns at a time.
 LEARN = 16_384
 #: Bytes of one Arrow batch between Spark and a worker.
@@ -20,6 +22,11 @@ BATCH_BYTES = 4 << 20
 _held: dict = {}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes, unless the session has a bound of its own: rows hold whole texts."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -91,30 +98,34 @@ class _Places(dict):
 class Memo:
     """Remembers what a function gives for strings: a run of integers and some numbers each.
 
-    When more than ``limit`` strings are known, two thirds of the limit stay, those used most.
-    It only saves work; results do not depend on what is known.
+    When more than ``limit`` strings are known, or more than LETTERS characters for each of them, two thirds of that
+    stay, those used most.  It only saves work; results do not depend on what is known.
     """
 
     def __init__(self, learn: Callable[[list[str]], tuple[list, np.ndarray]], limit: int, dtype: type, extras: int = 0):
         self.learn, self.limit = learn, limit
-        self.known = _Places()
+        self.known, self.letters = _Places(), 0
         self.flat, self.starts, self.sizes = np.zeros(0, dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.extra, self.uses = np.zeros((extras, 0)), np.zeros(0, np.int64)
 
     def _trim(self) -> None:
-        kept = np.sort(np.argsort(-self.uses, kind="stable")[: self.limit * 2 // 3])
-        self.flat, self.sizes, old = self.runs(kept), self.sizes[kept], list(self.known)
+        old = list(self.known)
+        order = np.argsort(-self.uses, kind="stable")[: self.limit * 2 // 3]
+        size = np.fromiter(map(len, old), np.int64, len(old))
+        kept = np.sort(order[np.cumsum(size[order]) <= self.limit * LETTERS * 2 // 3])
+        self.flat, self.sizes, self.letters = self.runs(kept), self.sizes[kept], int(size[kept].sum())
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.extra, self.uses = self.extra[:, kept], self.uses[kept] // 2
         self.known = _Places({old[i]: n for n, i in enumerate(kept.tolist())})
 
     def index(self, lists: list[list[str]]) -> np.ndarray:
         """Places of all strings of all lists, in order; valid until the next call."""
-        if len(self.known) > self.limit:
+        if len(self.known) > self.limit or self.letters > self.limit * LETTERS:
             self._trim()
         self.known.new = new = []
         out = np.fromiter(map(self.known.__getitem__, chain.from_iterable(lists)), np.int64, sum(map(len, lists)))
         if new:
+            self.letters += sum(map(len, new))
             flats, sizes, extras = [self.flat], [], [self.extra]
             for at in range(0, len(new), LEARN):
                 runs, extra = self.learn(new[at : at + LEARN])

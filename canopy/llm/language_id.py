@@ -29,6 +29,8 @@ LANGUAGES = 64
 #: Characters that are parsed as one piece; a phrase ends where its piece ends.
 PIECE = 512
 UNKNOWN = "und"
+#: Cells of an automaton's dense table at most; with a larger alphabet its edges are kept sorted.
+DENSE = 1 << 25
 
 
 def _fold_table() -> np.ndarray:
@@ -56,7 +58,7 @@ def folded(text: str) -> np.ndarray:
 
 
 class Parser:
-    """A suffix automaton as a dense table: ``table[state, symbol]``, 0 if there is no such match."""
+    """A suffix automaton as a table of (state, symbol), 0 where there is no such match: dense, or sorted edges if that is too large."""
 
     def __init__(self, symbols: np.ndarray, width: int):
         self.bits = float(np.log2(max(len(symbols), 2)))
@@ -85,23 +87,37 @@ class Parser:
                         nxt[p][c] = new
                         p = link[p]
             last = cur
-        self.table = np.zeros((len(nxt), width), np.int32)
-        for state, row in enumerate(nxt):
-            for c, to in row.items():
-                self.table[state, c] = to
+        self.width, self.root = width, np.zeros(width, np.int64)
+        for c, to in nxt[0].items():
+            self.root[c] = to
+        places = np.array([state * width + c for state, row in enumerate(nxt) for c in row], np.int64)
+        ends = np.array([to for row in nxt for to in row.values()], np.int32)
+        order = np.argsort(places)
+        self.places, self.ends, self.table = places[order], ends[order], None
+        if len(nxt) * width <= DENSE:
+            self.table = np.zeros(len(nxt) * width, np.int32)
+            self.table[self.places] = self.ends
+            self.places = self.ends = None
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        place = state * self.width + symbol
+        if self.table is not None:
+            return self.table[place]
+        if not len(self.places):
+            return np.zeros(len(place), np.int32)
+        at = np.minimum(np.searchsorted(self.places, place), len(self.places) - 1)
+        return np.where(self.places[at] == place, self.ends[at], 0)
 
     def phrases(self, steps: np.ndarray, active: np.ndarray) -> np.ndarray:
         """Phrases of each piece; ``steps[i]`` has the i-th symbols, of which the first ``active[i]`` exist."""
-        flat, width = self.table.reshape(-1), self.table.shape[1]
-        root = self.table[0]
-        state = np.zeros(steps.shape[1], np.int32)
+        state = np.zeros(steps.shape[1], np.int64)
         count = np.zeros(steps.shape[1], np.int32)
         for symbols, m in zip(steps, active.tolist(), strict=True):
             c = symbols[:m]
-            to = flat[state[:m] * width + c]
+            to = self.step(state[:m], c)
             over = to == 0
             count[:m] += over | (state[:m] == 0)
-            state[:m] = np.where(over, root[c], to)
+            state[:m] = np.where(over, self.root[c], to)
         return count
 
 

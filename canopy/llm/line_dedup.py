@@ -17,12 +17,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.functions.storage import settle
-from canopy.llm.common import document_key, key_join
+from canopy.llm.common import document_key, key_join, let
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Salts of a hash.
-SALTS = 64
+#: Salts of a hash at least, and the lines for which there is one more; a hot line is split into that many runs.
+SALTS, LINES = 64, 1 << 20
 
 
 def _folded(c: Column) -> Column:
@@ -49,9 +49,10 @@ def dropped_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) ->
         .select("doc_id", "text_key", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
     )
     rows = settle(keys, "lines")
+    salts = max(SALTS, rows.count() // LINES)
     run = ["h1", "h2", "salt"]
     ranged = (
-        rows.select("h1", "h2", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"), "doc_id", "pos")
+        rows.select("h1", "h2", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"), "doc_id", "pos")
         .repartitionByRange(*run)
         .sortWithinPartitions(*run, F.desc("doc_id"), "pos")
     )
@@ -74,11 +75,17 @@ def dropped_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) ->
 
 
 def _keep(lines: Column, dropped: Column) -> Column:
-    def stays(_, i):
-        word = F.coalesce(dropped[F.shiftright(i, 6)], F.lit(0).cast("long"))
-        return F.getbit(word, F.pmod(i, F.lit(64))) == 0
+    """Lines whose bit is not set; the words are laid out by their numbers once."""
+    none = F.lit(0).cast("long")
+    words = F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys(dropped))), lambda w: F.coalesce(dropped[w], none))
 
-    return F.filter(lines, stays)
+    def kept(laid):
+        def stays(_, i):
+            return F.getbit(F.coalesce(F.get(laid, F.shiftright(i, 6)), none), F.pmod(i, F.lit(64))) == 0
+
+        return F.filter(lines, stays)
+
+    return let(words, kept)
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:

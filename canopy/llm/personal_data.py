@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from canopy.llm.common import let
+
 #: Characters before a span, and behind it, that count as its context.
 CONTEXT = 40
 #: Spans of kinds beyond the base need this score.
@@ -70,11 +72,6 @@ KINDS = [
 ]
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is evaluated once, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _digits(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
 
@@ -89,7 +86,7 @@ def _luhn(digits: Column) -> Column:
 
         return F.pmod(F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), step), F.lit(10)) == 0
 
-    return _let(digits, of)
+    return let(digits, of)
 
 
 def _mod_97(account: Column) -> Column:
@@ -102,7 +99,7 @@ def _mod_97(account: Column) -> Column:
         return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), step) == 1
 
     plain = F.replace(account, F.lit(" "), F.lit(""))
-    return _let(plain, lambda p: _let(F.concat(F.substr(p, F.lit(5)), F.substr(p, F.lit(1), F.lit(4))), of))
+    return let(plain, lambda p: let(F.concat(F.substr(p, F.lit(5)), F.substr(p, F.lit(1), F.lit(4))), of))
 
 
 def _valid(kind: str, found: Column) -> Column:
@@ -133,7 +130,7 @@ def _starts(sizes: Column) -> Column:
     def in_blocks(v):
         count = F.floor((F.size(v) - 1) / BLOCK).cast("int")
         blocks = F.transform(F.sequence(F.lit(0), count), lambda k: _sum(F.slice(v, k * BLOCK + 1, F.lit(BLOCK))))
-        return _let(blocks, lambda sums: _let(_heads(sums), lambda heads: F.transform(F.sequence(F.lit(0), F.size(v) - 1), within(v, heads))))
+        return let(blocks, lambda sums: let(_heads(sums), lambda heads: F.transform(F.sequence(F.lit(0), F.size(v) - 1), within(v, heads))))
 
     def _heads(sums):
         return F.transform(F.sequence(F.lit(0), F.size(sums) - 1), lambda k: _sum(F.slice(sums, F.lit(1), k)))
@@ -145,7 +142,7 @@ def _starts(sizes: Column) -> Column:
 
         return start
 
-    return _let(sizes, in_blocks)
+    return let(sizes, in_blocks)
 
 
 def _span(k: int, kind: Kind):
@@ -189,7 +186,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
         out = out.withColumn(f"m{k}", found)
     none = F.array().cast(SPAN)
     for k, kind in enumerate(KINDS):
-        found = _let(F.split("text", kind.pattern, -1), _spans(k, kind))
+        found = let(F.split("text", kind.pattern, -1), _spans(k, kind))
         out = out.withColumn(f"s{k}", F.when(F.size(f"m{k}") > 0, found.cast(SPAN)).otherwise(none))
     return out.select("doc_id", "text", F.array_sort(F.concat(*[f"s{k}" for k in range(len(KINDS))])).alias("spans"))
 
@@ -203,7 +200,7 @@ def _spans(k: int, kind: Kind):
             near = F.lower(F.right(gap, F.lit(CONTEXT))).alias("before"), F.lower(F.left(F.get(gaps, i + 1), F.lit(CONTEXT))).alias("behind")
             return F.struct(x.alias("text"), F.length(x).alias("size"), F.length(gap).alias("gap"), *near)
 
-        return _let(F.transform(F.col(f"m{k}"), match), located)
+        return let(F.transform(F.col(f"m{k}"), match), located)
 
     def located(m):
         starts = _starts(F.transform(m, lambda x: x["size"] + x["gap"]))

@@ -29,10 +29,10 @@ class Counter:
         """(pieces, score) of the best segmentation of each text."""
         cells = [self.pieces.cells(t) for t in texts]
         index = self.memo.index(cells)
-        both = self.memo.extra[:, index]
-        sums = np.append(np.zeros((2, 1)), np.cumsum(both, axis=1), axis=1)
-        stops = np.append(0, np.cumsum([len(c) for c in cells]))
-        got = sums[:, stops[1:]] - sums[:, stops[:-1]]
+        many = np.array([len(c) for c in cells], np.int64)
+        got = np.zeros((2, len(texts)))
+        if len(index):  # each text is summed by itself, so that its score does not depend on its neighbours
+            got[:, many > 0] = np.add.reduceat(self.memo.extra[:, index], (np.cumsum(many) - many)[many > 0], axis=1)
         return got[0].astype(np.int64), got[1]
 
 
@@ -44,7 +44,8 @@ def token_counts(docs: DataFrame, model: bytes) -> DataFrame:
     """(doc_id, n_tokens, score), a row per row of ``docs``.
 
     ``model`` is a SentencePiece file whose scores are taken as those of a
-    unigram vocabulary and added exactly.  Of equal scores the segmentation that
+    unigram vocabulary and added in the order of the text (exactly, if they are
+    whole numbers as in byte-pair files).  Of equal scores the segmentation that
     the tokenizer meets first counts.  Characters outside the vocabulary count
     as their bytes if it has byte pieces.  A null or empty text has none.
     """

@@ -24,7 +24,10 @@ def real(spark):
     return spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
 
 
-def test_parser_matches_brute_force(real):
+@pytest.mark.parametrize("dense", [li.DENSE, 0])
+def test_parser_matches_brute_force(real, dense, monkeypatch):
+    """With the dense table, and with sorted edges."""
+    monkeypatch.setattr(li, "DENSE", dense)
     samples = {r.lang: r.text for r in real.where("length(text) between 1500 and 3000").dropDuplicates(["lang"]).select("lang", "text").collect()}
     model = li.Model(samples)
     for r in real.where("length(text) < 500").limit(40).collect():
