@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.functions.storage import settle
+from canopy.functions.storage import release, settle
 from canopy.llm.common import key_join
 from canopy.llm.decontaminate import decontaminate
 from canopy.llm.language_id import UNKNOWN, identify, sample
@@ -75,12 +75,20 @@ STAGES = [
     ("SentencePiece encoding and decoding", pieces),
 ]
 
-#: A suffix automaton's parse, SimHash and a lattice search have no SQL form; the tests hold run() against plain Python.
+#: A suffix automaton's parse, SimHash and a lattice search have no SQL form; tests/llm/test_pipeline.py holds run() and each stage against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages; what a stage wrote is deleted when the next one has written.
+
+    Null and empty texts, and texts without letters, go in the first stage; rows without a doc_id, rows that share one and rows
+    that repeat each other are handled as each stage states; other columns than those of ``documents`` are not carried.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            release(before)
+        before = docs
     return docs
