@@ -167,3 +167,18 @@ def test_memory_does_not_change_results(pieces, monkeypatch):
         assert [(i.tolist(), s) for i, s in enc.encode_all(b)] == w
         n, score = cnt.count_all(b)
         assert n.tolist() == [len(i) for i, _ in w] and score.tolist() == [s[0] for _, s in w]
+
+
+def test_whole_segmentations(spark, model, pieces):
+    """The n best of short texts with their ids: different, of the scores they are given, and none better is left out."""
+    texts = ["the of", "ab cd", "mentoi a", "x.y", "", None, "é\n z"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in encode(df, model, nbest=6, whole=True).collect():
+        if not r.text:
+            assert (r.nbest_scores, r.nbest_ids) == ([0.0], [[]])
+            continue
+        every = all_segmentations(pieces, SPACE + r.text.replace(" ", SPACE))
+        assert r.nbest_scores == [s for s, _ in every[:6]] and r.nbest_ids[0] == r.ids
+        score = {tuple(ids): s for s, ids in reversed(every)}
+        assert [score[tuple(x)] for x in r.nbest_ids] == r.nbest_scores and len({tuple(x) for x in r.nbest_ids}) == len(r.nbest_ids)
+        assert r.nbest_crc32 == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in r.nbest_ids]
