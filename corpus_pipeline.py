@@ -64,7 +64,7 @@ def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each document, with the scores of its best segmentations."""
     out = encode(docs.select("doc_id", "lang", "source", "text"), _vocabulary("piece_bpe_32k.model"))
-    return out.select("doc_id", "lang", "source", "n_pieces", "ids", "ids_crc32", "nbest_scores", "decoded_sha256", "lossless")
+    return out.select("doc_id", "lang", "source", "n_pieces", "ids", "ids_crc32", "nbest_scores", "nbest_crc32", "decoded_sha256", "lossless")
 
 
 STAGES = [
