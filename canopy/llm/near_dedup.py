@@ -28,6 +28,8 @@ from canopy.operators.graph import components
 #: Members of a list that one block holds; a longer list is met block against block.
 BLOCK = 2048
 MAX_BITS = 4
+#: Fingerprints of one task that makes entries of them, and such tasks at most.
+SPREAD, MOST_TASKS = 8192, 50_000
 PLACES = list(combinations(range(8), 4))
 #: For each set of equal byte positions, the list that owns a pair, or -1 if under four are equal.
 OWNER = np.array(
@@ -158,7 +160,9 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataF
     """
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError("the count filter guarantees four shared bytes for up to 4 bits only")
-    entries = fps.select("fp", F.explode(F.array(*[_list_key(k) for k in range(len(PLACES))])).alias("key"))
+    # a few rows become 70 times as many: small files must not make few tasks of them
+    tasks = min(max(1, -(-fps.count() // SPREAD)), MOST_TASKS)
+    entries = fps.repartition(tasks, "fp").select("fp", F.explode(F.array(*[_list_key(k) for k in range(len(PLACES))])).alias("key"))
     long_lists = settle(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "lists")
     met = entries.join(long_lists.hint("merge"), "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     met = met.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
