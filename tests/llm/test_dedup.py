@@ -1,11 +1,14 @@
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
+from canopy.llm import exact_dedup as ed
 from canopy.llm import near_dedup as nd
 from canopy.llm.exact_dedup import MODULUS, combine, exact_dedup, fingerprint
 from canopy.llm.line_dedup import line_dedup
@@ -48,6 +51,11 @@ def test_lines_long_documents_and_null_ids(spark):
     assert got == sorted([*brute_lines(texts), (None, 1, 0, line)], key=repr)
 
 
+def test_lines_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a\nb", 5, "x")], "doc_id long, text string, n_lines long, lang string")
+    assert line_dedup(docs, keep=("n_lines", "lang", "kept_text")).columns == ["doc_id", "n_lines", "n_dropped", "kept_text", "lang"]
+
+
 def test_lines_empty(no_docs):
     assert line_dedup(no_docs).count() == 0
 
@@ -76,6 +84,33 @@ def test_exact_large_group(spark):
     assert got == brute_exact(texts)
 
 
+def test_exact_repeated_rows(spark):
+    """20,000 rows that are equal as a whole, the smallest or not the smallest of their group."""
+    began = time.time()
+    one = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("a\t b").alias("text"))
+    two = spark.range(20_000).select(F.lit(9).cast("long").alias("doc_id"), F.lit("a b").alias("text"))
+    got = exact_dedup(one.unionByName(two).unionByName(spark.createDataFrame([(8, "a  b"), (3, "c")], "doc_id long, text string")))
+    counts = got.groupBy("doc_id", "keep_id", "group_size", "kept").count().collect()
+    assert sorted(map(tuple, counts)) == [(3, 3, 1, True, 1), (7, 7, 40_001, True, 20_000), (8, 7, 40_001, False, 1), (9, 7, 40_001, False, 20_000)]
+    assert time.time() - began < 60
+
+
+@pytest.mark.parametrize("part", [1, 7, 64])
+def test_exact_huge_texts_in_parts(docs, texts, part):
+    """With every text over 20 bytes taken apart, also between the blanks of a run."""
+    few = [(i, t) for i, t in texts if len(t or "") < 3000]
+    df = docs.where(F.coalesce(F.length("text"), F.lit(0)) < 3000)
+    assert rows(exact_dedup(df, huge=20, part=part), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == brute_exact(few)
+
+
+def test_pieces_join():
+    raw = b" \t a  b\n\n \x0bcd   "
+    for a in range(len(raw) + 1):
+        for b in range(a, len(raw) + 1):
+            x, y, z = (ed.piece(ed.normalised(p)) for p in (raw[:a], raw[a:b], raw[b:]))
+            assert ed.join(ed.join(x, y), z)[:2] == ed.join(x, ed.join(y, z))[:2] == ed.fingerprint(ed.normalised(raw))
+
+
 def test_exact_empty(no_docs):
     assert exact_dedup(no_docs).count() == 0
 
