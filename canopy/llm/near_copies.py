@@ -4,8 +4,11 @@ SimHash proposes pairs, but no radius of it guarantees a similarity.  Texts of
 that similarity share a shingle among the first n - ceil(4n/5) + 1 of their n
 shingles in any order that all texts use (prefix filter), so an index of those
 prefixes meets every pair.  The order has shingles that are common in a sample
-last, which only saves work.  All proposed pairs are checked on whole texts;
-equality of shingles rests on 64-bit hashes.
+last, which only saves work.  The first shingle that two texts share, at places
+i and j, leaves them at most n - i and m - j in common; so each entry of the
+index tells the largest partner that it allows (position filter), and a list
+keeps only entries that may allow each other.  All proposed pairs are checked on
+whole texts; equality of shingles rests on 64-bit hashes.
 
 A list of the index first proposes each member with its smallest one.  After
 those are checked, it proposes all pairs that are not grouped yet.
@@ -24,24 +27,25 @@ from pyspark.sql import functions as F
 from canopy.functions.storage import settle
 from canopy.llm.common import as_bytes, column, document_key, key_join, slices, small_batches
 from canopy.llm.near_dedup import fingerprint, links
+from canopy.llm.suffix_dedup import Hashes
 from canopy.operators.graph import components
 
 WIDTH, SEED = 5, 42
 #: Texts whose shingles are counted for the order, and common shingles that it knows; results do not depend on them.
 SAMPLE_SETS, COMMON = 16_384, 1 << 17
+#: Hashes that a task keeps of the texts it has compared.
+KNOWN = 1 << 21
 
 
 def shingles(text: bytes) -> np.ndarray:
-    """Sorted distinct XXH64 of every shingle; words as for SimHash.  Fewer words make one shingle; none give none."""
+    """Sorted distinct hashes of all shingles; words as for SimHash.  Fewer words make one shingle; none give none."""
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
     n = max(len(words) - WIDTH + 1, 1)
-    joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
-    h = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((h(joined[a:b], SEED) for a, b in zip((ends - sizes).tolist()[:n], ends.tolist()[len(words) - n :], strict=True)), np.uint64, n))
+    return np.unique(Hashes(np.frombuffer(b" ".join(words), np.uint8)).of((ends - sizes)[:n], ends[len(words) - n :]))
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -73,6 +77,7 @@ def _all_shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _entries(common: np.ndarray, counts: np.ndarray):
+    """For each shingle of a prefix: the size n of the set, and u, the size of the largest set that may be similar and share it first."""
     shared = [common, counts]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,16 +87,42 @@ def _entries(common: np.ndarray, counts: np.ndarray):
             sizes = np.array([len(x) for x in first])
             keys = np.repeat(column(b, "set_key").to_numpy(), sizes)
             n = np.repeat(np.array([len(s) for s in found], np.int64), sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64)), pa.array(n), pa.array(keys)], names=["h", "n", "set_key"])
+            place = np.arange(len(n)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            # similar sets of n and m have 4/9 of n + m in common, and n - place at most
+            most = (5 * n - 9 * place) // 4
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64)), pa.array(n.astype(np.int32)), pa.array(most.astype(np.int32)), pa.array(keys)], names=["h", "n", "u", "set_key"])
 
     return work
 
 
+def _plausible(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Of rows sorted by (h, n, set_key): those whose list has, before them, one that allows their size or, next, one of a size that they allow."""
+    last, allowed = None, np.int64(-1)
+    for b in batches:
+        cur = [column(b, c).to_numpy().astype(np.int64) for c in ("h", "n", "u", "set_key")]
+        if not len(cur[0]):
+            continue
+        cur = [np.concatenate([k, c]) for k, c in zip(last, cur, strict=True)] if last else cur
+        h, n, u, _ = cur
+        first = np.ones(len(h), bool)
+        first[1:] = h[1:] != h[:-1]
+        own = np.cumsum(first) << 32
+        reach = own + u + 1
+        reach[0] = own[0] + max(u[0], allowed) + 1
+        before = np.append(allowed, np.maximum(np.maximum.accumulate(reach)[:-1] - own[1:] - 1, -1))
+        before[first & (np.arange(len(h)) > 0)] = -1
+        keep = before >= n
+        keep[:-1] |= ~first[1:] & (n[1:] <= u[:-1])
+        yield [c[:-1][keep[:-1]] for c in cur]
+        last, allowed = [c[-1:] for c in cur], before[-1]
+    if last and allowed >= last[1][0]:
+        yield last
+
+
 def _lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by (h, n, set_key): those of lists of two or more, with the first of their list."""
+    """Plausible rows of lists of two or more, with the first of their list."""
     kept = None  # the last row, which may go on in the next batch, and the first of its list
-    for b in batches:
-        cur = [column(b, c).to_numpy() for c in ("h", "n", "set_key")]
+    for cur in _plausible(batches):
         if not len(cur[0]):
             continue
         cur = [np.concatenate([k, c]) for k, c in zip(kept[0], cur, strict=True)] if kept else cur
@@ -112,12 +143,23 @@ def _lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _list_rows(cols: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["h", "n", "set_key", "head_n", "head"])
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["h", "n", "u", "set_key", "head_n", "head_u", "head"])
 
 
 def _check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[int, np.ndarray] = {}
+    size = 0
     for b in slices(batches, "a_text"):
-        good = [similar(shingles(x), shingles(y)) for x, y in zip(as_bytes(b, "a_text"), as_bytes(b, "b_text"), strict=True)]
+        good = []
+        pairs = [column(b, "u").to_pylist(), column(b, "v").to_pylist()], [as_bytes(b, "a_text"), as_bytes(b, "b_text")]
+        for row in zip(*pairs[0], *pairs[1], strict=True):
+            for name, text in zip(row[:2], row[2:], strict=True):
+                if name not in known:
+                    known[name] = shingles(text)
+                    size += len(known[name])
+            good.append(similar(known[row[0]], known[row[1]]))
+            if size > KNOWN:
+                known, size = {}, 0
         yield pa.RecordBatch.from_arrays([column(b, "u"), column(b, "v")], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
 
 
@@ -132,15 +174,15 @@ def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def index_lists(sets: DataFrame) -> DataFrame:
-    """(h, n, set_key, head_n, head): the lists of the prefix index that hold two sets or more, with the smallest of each."""
+    """(h, n, u, set_key, head_n, head_u, head): the lists of the prefix index that hold two plausible sets or more, with the smallest of each."""
     share = max(1, sets.count() // SAMPLE_SETS)
     drawn = sets.where(F.pmod("set_key", F.lit(share)) == 0).select("text").mapInArrow(_all_shingles, "h long")
     often = drawn.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(COMMON).collect()
     common, counts = np.array([r.h for r in often], np.int64).view(np.uint64), np.array([r.n for r in often], np.int64)
     order = np.argsort(common)
-    entries = sets.mapInArrow(_entries(common[order], counts[order]), "h long, n long, set_key long")
+    entries = sets.mapInArrow(_entries(common[order], counts[order]), "h long, n int, u int, set_key long")
     met = entries.repartition("h").sortWithinPartitions("h", "n", "set_key")
-    return settle(met.mapInArrow(_lists, "h long, n long, set_key long, head_n long, head long"), "lists")
+    return settle(met.mapInArrow(_lists, "h long, n long, u long, set_key long, head_n long, head_u long, head long"), "lists")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -160,18 +202,18 @@ def near_groups(docs: DataFrame) -> DataFrame:
     by_bits = links(fps.select("fp")).join(fps.select(F.col("fp").alias("u"), F.col("low").alias("a")), "u")
     by_bits = by_bits.join(fps.select(F.col("fp").alias("v"), F.col("low").alias("b")), "v").select(*_pair("a", "b"))
     met = index_lists(sets)
-    starred = met.where("5 * head_n >= 4 * n").select(*_pair("head", "set_key"))
+    starred = met.where("n <= head_u and head_n <= u").select(*_pair("head", "set_key"))
     pairs = settle(same.unionByName(by_bits).unionByName(starred).where("u <> v").distinct(), "pairs")
     alike = _checked(pairs, sets)
 
     roots = components(alike).withColumnRenamed("u", "set_key")
-    met = met.select("h", "n", "set_key").join(roots, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+    met = met.select("h", "n", "u", "set_key").join(roots, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     mixed = met.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
-    groups = met.join(mixed, "h").groupBy("h", "root").agg(F.collect_list(F.struct("n", "set_key")).alias("m"))
+    groups = met.join(mixed, "h").groupBy("h", "root").agg(F.collect_list(F.struct("n", "u", "set_key")).alias("m"))
     groups = settle(groups, "groups")
     others = groups.select("h", F.col("root").alias("other"), F.col("m").alias("o"))
     cross = groups.join(others, "h").where("root < other").select(F.explode("m").alias("x"), "o").select("x", F.explode("o").alias("y"))
-    cross = cross.where("5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)").select(*_pair("x.set_key", "y.set_key")).distinct()
+    cross = cross.where("x.n <= y.u and y.n <= x.u").select(*_pair("x.set_key", "y.set_key")).distinct()
     cross = settle(cross.join(pairs, ["u", "v"], "left_anti"), "cross")
     roots = components(alike.unionByName(_checked(cross, sets))).withColumnRenamed("u", "set_key")
     return prints.join(roots, "set_key", "left").select("doc_id", "text_key", F.coalesce("root", "set_key").alias("component"))

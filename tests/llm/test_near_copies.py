@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -81,13 +82,21 @@ def test_prefixes_of_similar_sets_meet():
 
 
 def test_lists_across_batches():
-    import pyarrow as pa
-
-    h = [1, 2, 2, 3, 3, 3, 3, 4, 5, 5]
-    names = ["h", "n", "set_key"]
-    want = [(x, i, 10 * i, h.index(x), 10 * h.index(x)) for i, x in enumerate(h) if h.count(x) > 1]
-    for size in range(1, 11):
-        cut = [pa.RecordBatch.from_arrays([pa.array(h[s : s + size]), pa.array(range(len(h)))[s : s + size], pa.array([10 * i for i in range(len(h))][s : s + size])], names=names) for s in range(0, len(h), size)]
+    """Of each list the entries that may allow another, as plain Python has them; wherever batches end."""
+    rng = random.Random(3)
+    rows_ = sorted((rng.randrange(6), rng.randrange(8, 14), rng.randrange(6, 16), k) for k in range(60))
+    rows_ = [(h, n, min(u, 5 * n // 4), k) for h, n, u, k in rows_]
+    rows_.sort(key=lambda r: (r[0], r[1], r[3]))
+    want = []
+    for h in range(6):
+        own = [r for r in rows_ if r[0] == h]
+        kept = [r for i, r in enumerate(own) if max([x[2] for x in own[:i]], default=-1) >= r[1] or (i + 1 < len(own) and own[i + 1][1] <= r[2])]
+        # no pair that allows each other is lost
+        assert all(a in kept and b in kept for i, a in enumerate(own) for b in own[:i] if a[1] <= b[2] and b[1] <= a[2])
+        want += [(*r, *kept[0][1:]) for r in kept if len(kept) > 1]
+    table = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows_, strict=True)], names=["h", "n", "u", "set_key"])
+    for step in (1, 2, 3, 7, 60):
+        cut = [table.slice(i, step) for i in range(0, 60, step)]
         got = [tuple(r.values()) for b in nc._lists(cut) for r in b.to_pylist()]
         assert got == want
 
