@@ -34,7 +34,7 @@ PASSAGE = 256
 WORDS = 50
 K = 32
 #: Bytes of a document that are searched for anchors at a time.
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: Bytes of stretches in one suffix array.
 SHARD_BYTES = 1 << 20
 #: Different stretches of one anchor that a shard takes.
