@@ -195,7 +195,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
     prints = settle(keyed.mapInArrow(_prints, "doc_id long, text_key long, set_key long, fp long"), "prints")
     # one text of each set of shingles; SimHash counts repeats, so a set may have several fingerprints
     one = prints.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("k")).select("set_key", "k.*")
-    sets = settle(key_join(keyed, one, "inner").select("set_key", "text").dropDuplicates(["set_key"]), "sets")
+    sets = key_join(keyed, one, "inner").select("set_key", "text")
+    if not prints.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        sets = sets.dropDuplicates(["set_key"])  # rows that repeat a document whole
+    sets = settle(sets, "sets")
 
     fps = settle(prints.groupBy("fp").agg(F.min("set_key").alias("low")), "fps")
     same = prints.join(fps, "fp").select(*_pair("low", "set_key"))
