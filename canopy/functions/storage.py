@@ -31,11 +31,20 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Deletes the files of a query's shuffles when it ends, not when the driver happens to collect its garbage.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table read back."""
+    """Write ``df`` to the shared folder and return the table read back; the files of its shuffles are deleted."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/canopy/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(TIDY, before) if before else spark.conf.unset(TIDY)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -366,3 +366,20 @@ def test_release(spark):
     release(t, spark.range(3))
     with pytest.raises(Exception, match="(?i)not exist|not found|FILE_NOT_EXIST"):
         t.collect()
+
+
+def test_a_settled_table_leaves_no_shuffle(spark):
+    """The files of the shuffles of a table that has been written are deleted with no help of the garbage collector."""
+    import glob
+    import time
+
+    from canopy.functions.storage import TIDY, settle
+
+    folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]
+    before, was = set(glob.glob(f"{folder}/*/shuffle_*")), spark.conf.get(TIDY, None)
+    table = settle(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "tidy")
+    for _ in range(50):
+        if not (left := set(glob.glob(f"{folder}/*/shuffle_*")) - before):
+            break
+        time.sleep(0.1)
+    assert table.count() == 7 and not left and spark.conf.get(TIDY, None) == was
