@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
@@ -37,11 +39,22 @@ def small_batches(spark: SparkSession) -> None:
 def held(key: tuple, build: Callable[[], object]):
     """What ``build`` gives, kept for later tasks of the worker until it needs another model."""
     if key not in _held:
-        _held.clear()
+        forget()
         _held[key] = build()
     return _held[key]
 
 
+def forget() -> None:
+    """Drop the model that earlier tasks of the worker have kept, and give freed memory back to the system: it counts against the executor."""
+    if _held:
+        _held.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def document_key() -> list[Column]:
     """Columns that identify a document: its id and a hash of its text.
 

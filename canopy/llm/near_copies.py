@@ -7,8 +7,11 @@ prefixes meets every pair.  The order has shingles that are common in a sample
 last, which only saves work.  The first shingle that two texts share, at places
 i and j, leaves them at most n - i and m - j in common; so each entry of the
 index tells the largest partner that it allows (position filter), and a list
-keeps only entries that may allow each other.  All proposed pairs are checked on
-whole texts; equality of shingles rests on 64-bit hashes.
+keeps only entries that may allow each other.  A set's shingles are also told by
+the parities of their numbers in 512 bins: similar sets of n and m differ in at
+most (n + m) / 9 shingles, so in no more bins (bin filter).  All proposed pairs
+that this leaves are checked on whole texts; equality of shingles rests on
+64-bit hashes.
 
 A list of the index first proposes each member with its smallest one.  After
 those are checked, it proposes all pairs that are not grouped yet.
@@ -24,8 +27,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopy.functions.storage import settle
-from canopy.llm.common import as_bytes, column, document_key, key_join, slices, small_batches
+from canopy.functions.storage import release, settle
+from canopy.llm.common import as_bytes, column, document_key, forget, key_join, slices, small_batches
 from canopy.llm.near_dedup import fingerprint, links
 from canopy.llm.suffix_dedup import Hashes
 from canopy.operators.graph import components
@@ -35,6 +38,9 @@ WIDTH, SEED = 5, 42
 SAMPLE_SETS, COMMON = 16_384, 1 << 17
 #: Hashes that a task keeps of the texts it has compared.
 KNOWN = 1 << 21
+#: Words of 64 bins whose parities tell sets apart.
+WORDS = 8
+PARITIES = [f"p{k}" for k in range(WORDS)]
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -53,6 +59,18 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """The parities of the numbers of shingles in each bin, in WORDS words."""
+    counts = np.bincount((s % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS)
+    return np.packbits((counts & 1).astype(bool), bitorder="little").view("<i8")
+
+
+def _may(a: str, b: str) -> Column:
+    """Whether two structs of n and parities may be of similar sets: bins that differ hold a shingle that differs."""
+    differ = sum((F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in PARITIES), F.lit(0))
+    return 9 * differ <= F.col(f"{a}.n") + F.col(f"{b}.n")
+
+
 def prefix(s: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The shingles of which two similar sets share one."""
     rank = np.zeros(len(s), np.int64)
@@ -63,14 +81,19 @@ def prefix(s: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _prints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for b in slices(batches):
         texts = as_bytes(b)
-        keys = np.array([xxhash.xxh64_intdigest(shingles(x).tobytes(), SEED) for x in texts], np.uint64).view(np.int64)
+        found = [shingles(x) for x in texts]
+        keys = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in found], np.uint64).view(np.int64)
         fps = np.array([fingerprint(x) for x in texts], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "text_key"), pa.array(keys), pa.array(fps)], names=["doc_id", "text_key", "set_key", "fp"])
+        words = np.stack([parities(s) for s in found], 1)
+        cols = [column(b, "doc_id"), column(b, "text_key"), pa.array(keys), pa.array(fps), pa.array([len(s) for s in found], pa.int64()), *map(pa.array, words)]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_key", "set_key", "fp", "n", *PARITIES])
 
 
 def _all_shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for b in slices(batches):
         found = [shingles(x) for x in as_bytes(b)]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["h"])
@@ -81,6 +104,7 @@ def _entries(common: np.ndarray, counts: np.ndarray):
     shared = [common, counts]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in slices(batches):
             found = [shingles(x) for x in as_bytes(b)]
             first = [prefix(s, *shared) for s in found]
@@ -121,6 +145,7 @@ def _plausible(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 def _lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Plausible rows of lists of two or more, with the first of their list."""
+    forget()
     kept = None  # the last row, which may go on in the next batch, and the first of its list
     for cur in _plausible(batches):
         if not len(cur[0]):
@@ -147,6 +172,7 @@ def _list_rows(cols: list) -> pa.RecordBatch:
 
 
 def _check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     known: dict[int, np.ndarray] = {}
     size = 0
     for b in slices(batches, "a_text"):
@@ -168,11 +194,19 @@ def _pair(a: str, b: str) -> list[Column]:
 
 
 def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs (u, v) of set_key, those of similar sets."""
     a = sets.select(F.col("set_key").alias("u"), F.col("text").alias("a_text"))
     b = sets.select(F.col("set_key").alias("v"), F.col("text").alias("b_text"))
     return settle(pairs.join(a, "u").join(b, "v").select("u", "v", "a_text", "b_text").mapInArrow(_check, "u long, v long"), "alike")
 
 
+def _likely(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Of pairs (u, v) of set_key, those that the bins leave."""
+    mark = F.struct("n", *PARITIES)
+    a, b = (marks.select(F.col("set_key").alias(key), mark.alias(name)) for key, name in (("u", "a"), ("v", "b")))
+    return settle(pairs.join(a, "u").join(b, "v").where(_may("a", "b")).select("u", "v"), "likely")
+
+
 def index_lists(sets: DataFrame) -> DataFrame:
     """(h, n, u, set_key, head_n, head_u, head): the lists of the prefix index that hold two plausible sets or more, with the smallest of each."""
     share = max(1, sets.count() // SAMPLE_SETS)
@@ -182,7 +216,7 @@ def index_lists(sets: DataFrame) -> DataFrame:
     order = np.argsort(common)
     entries = sets.mapInArrow(_entries(common[order], counts[order]), "h long, n int, u int, set_key long")
     met = entries.repartition("h").sortWithinPartitions("h", "n", "set_key")
-    return settle(met.mapInArrow(_lists, "h long, n long, u long, set_key long, head_n long, head_u long, head long"), "lists")
+    return settle(met.mapInArrow(_lists, "h long, n long, u long, set_key long, head_n long, head_u long, head long"), "met")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -192,7 +226,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     keyed = docs.select(*document_key(), "text")
-    prints = settle(keyed.mapInArrow(_prints, "doc_id long, text_key long, set_key long, fp long"), "prints")
+    schema = "doc_id long, text_key long, set_key long, fp long, n long, " + ", ".join(f"{p} long" for p in PARITIES)
+    prints = settle(keyed.mapInArrow(_prints, schema), "prints")
+    marks = settle(prints.groupBy("set_key").agg(F.any_value("n").alias("n"), *[F.any_value(p).alias(p) for p in PARITIES]), "marks")
     # one text of each set of shingles; SimHash counts repeats, so a set may have several fingerprints
     one = prints.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("k")).select("set_key", "k.*")
     sets = key_join(keyed, one, "inner").select("set_key", "text")
@@ -204,19 +240,26 @@ def near_groups(docs: DataFrame) -> DataFrame:
     same = prints.join(fps, "fp").select(*_pair("low", "set_key"))
     by_bits = links(fps.select("fp")).join(fps.select(F.col("fp").alias("u"), F.col("low").alias("a")), "u")
     by_bits = by_bits.join(fps.select(F.col("fp").alias("v"), F.col("low").alias("b")), "v").select(*_pair("a", "b"))
-    met = index_lists(sets)
-    starred = met.where("n <= head_u and head_n <= u").select(*_pair("head", "set_key"))
+    lists = index_lists(sets)
+    starred = lists.where("n <= head_u and head_n <= u").select(*_pair("head", "set_key"))
     pairs = settle(same.unionByName(by_bits).unionByName(starred).where("u <> v").distinct(), "pairs")
-    alike = _checked(pairs, sets)
+    release(fps)
+    likely = _likely(pairs, marks)
+    alike = _checked(likely, sets)
+    release(likely)
 
     roots = components(alike).withColumnRenamed("u", "set_key")
-    met = met.select("h", "n", "u", "set_key").join(roots, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+    met = lists.select("h", "u", "set_key").join(roots, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     mixed = met.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
-    groups = met.join(mixed, "h").groupBy("h", "root").agg(F.collect_list(F.struct("n", "u", "set_key")).alias("m"))
-    groups = settle(groups, "groups")
+    met = met.join(mixed, "h").join(marks, "set_key")
+    groups = settle(met.groupBy("h", "root").agg(F.collect_list(F.struct("n", "u", "set_key", *PARITIES)).alias("m")), "groups")
+    release(lists)
     others = groups.select("h", F.col("root").alias("other"), F.col("m").alias("o"))
     cross = groups.join(others, "h").where("root < other").select(F.explode("m").alias("x"), "o").select("x", F.explode("o").alias("y"))
-    cross = cross.where("x.n <= y.u and y.n <= x.u").select(*_pair("x.set_key", "y.set_key")).distinct()
+    cross = cross.where("x.n <= y.u and y.n <= x.u").where(_may("x", "y")).select(*_pair("x.set_key", "y.set_key")).distinct()
     cross = settle(cross.join(pairs, ["u", "v"], "left_anti"), "cross")
-    roots = components(alike.unionByName(_checked(cross, sets))).withColumnRenamed("u", "set_key")
+    release(groups, pairs, marks)
+    more = _checked(cross, sets)
+    release(cross, sets)
+    roots = components(alike.unionByName(more)).withColumnRenamed("u", "set_key")
     return prints.join(roots, "set_key", "left").select("doc_id", "text_key", F.coalesce("root", "set_key").alias("component"))

@@ -119,3 +119,40 @@ def test_stage_keeps_unrelated_texts_of_one_id(spark):
     df = spark.createDataFrame([(i, t, "en", f"s{n}", len(t)) for n, (i, t) in enumerate(rows_in)], SCHEMA)
     got = rows(corpus_pipeline.near_copies(spark, df, ""), "doc_id", "text", "source")
     assert got == sorted([*((i, t, f"s{n}") for n, (i, t) in enumerate(kept)), (4, text(6), "s8")], key=repr)
+
+
+def test_bins_leave_all_similar_pairs():
+    """Sets that the bins tell apart are not similar; most unrelated ones are told apart."""
+    rng = np.random.default_rng(6)
+    left = []
+    for n in (1, 3, 9, 40, 300, 900):
+        a = np.unique(rng.integers(0, 2**63, n, np.uint64))
+        for cut in range(0, n, max(1, n // 12)):
+            b = np.unique(np.concatenate([a[cut:], rng.integers(0, 2**63, cut // 2, np.uint64)]))
+            differ = int(np.bitwise_count(nc.parities(a) ^ nc.parities(b)).sum())
+            assert 9 * differ <= len(a) + len(b) or not nc.similar(a, b)
+        other = rng.integers(0, 2**63, n, np.uint64)
+        left.append(9 * int(np.bitwise_count(nc.parities(a) ^ nc.parities(other)).sum()) <= 2 * n)
+    assert not any(left)
+
+
+def test_intermediate_tables_go(spark):
+    """Tables as large as the texts, and lists and pairs, are deleted before the groups are read."""
+    import os
+
+    from canopy.functions.storage import shared_root
+
+    root = shared_root(spark).removeprefix("file://") + "/canopy/"
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(mixed_texts())], SCHEMA)
+    groups = nc.near_groups(docs)
+    names = {x.split("-")[0] for x in set(os.listdir(root)) - before}
+    assert groups.count() == len(mixed_texts()) and not names & {"sets", "fps", "met", "pairs", "likely", "groups", "cross", "marks"}
+
+
+def test_models_are_dropped_before_near_copies():
+    from canopy.llm import common
+
+    common.held(("test",), lambda: [0])
+    list(nc._prints(iter(())))
+    assert not common._held
