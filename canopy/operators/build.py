@@ -48,6 +48,12 @@ class Index:
         return cls(spark.read.parquet(f"{path}/points"), spark.read.parquet(f"{path}/nodes"), config or Config())
 
 
+def kind_of(points: DataFrame) -> str:
+    """The type that coordinates are kept in: DOUBLE if any of them is, FLOAT otherwise."""
+    kinds = dict(points.dtypes)
+    return "double" if any(kinds[c] == "double" for c in dims(points)) else "float"
+
+
 def local_limit(points: DataFrame) -> int:
     return max(1, LOCAL_VALUES // max(1, len(dims(points))))
 
@@ -76,7 +82,7 @@ def split_values(points: DataFrame, wide: DataFrame, by: list[str], ranked: int
     target = F.floor(F.col("n") / 2)
     rows = points.join(wide.where("span > 0").select(*by, "split_dim"), by).withColumn("v", _chosen(points)).select(*by, "v")
     near = wide.where("span > 0").select(
-        *by, "n", "low", F.col("low").alias("a"), F.col("high").alias("z"), F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"), F.lit(None).cast("float").alias("above")
+        *by, "n", "low", F.col("low").alias("a"), F.col("high").alias("z"), F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"), F.lit(None).cast(kind_of(points)).alias("above")
     )
     state = [*by, "n", "low", "a", "z", "below", "inside", "above"]
     is_open = (F.col("inside") > ranked) & (F.col("a") < F.col("z"))
@@ -102,7 +108,7 @@ def split_values(points: DataFrame, wide: DataFrame, by: list[str], ranked: int
 
 
 def grow(x: np.ndarray, root: int, leaf_size: int) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
-    """Leaf ids of float32 points, and (node, dimension, value) of the splits below ``root``."""
+    """Leaf ids of points, and (node, dimension, value) of the splits below ``root``."""
     leaf, splits = np.empty(len(x), np.int64), []
     todo = [(root, np.arange(len(x)))]
     while todo:
@@ -157,18 +163,19 @@ def summarise(points: DataFrame, splits: DataFrame, leaf_size: int) -> DataFrame
 
 def _finish(points: DataFrame, splits: list[DataFrame], config: Config) -> Index:
     """Finish nodes that fit a task.  ``points`` has node_id and ``done`` (nothing left to split)."""
-    cols, leaf_size = dims(points), config.leaf_size
+    cols, leaf_size, kind = dims(points), config.leaf_size, kind_of(points)
+    dtype = np.float64 if kind == "double" else np.float32
 
     def local(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        leaf, found = grow(pdf[cols].to_numpy(np.float32), int(key[0]), leaf_size)
+        leaf, found = grow(pdf[cols].to_numpy(dtype), int(key[0]), leaf_size)
         n, m = len(pdf), len(found)
-        out = {"id": pd.array([*pdf["id"], *[None] * m], "Int64"), **{c: np.append(pdf[c].to_numpy(np.float32), np.zeros(m, np.float32)) for c in cols}}
+        out = {"id": pd.array([*pdf["id"], *[None] * m], "Int64"), **{c: np.append(pdf[c].to_numpy(dtype), np.zeros(m, dtype)) for c in cols}}
         out["leaf_id"] = np.append(leaf, np.array([f[0] for f in found], np.int64))
         out["split_dim"] = pd.array([*[None] * n, *(f[1] for f in found)], "Int32")
-        out["split_value"] = np.append(np.zeros(n, np.float32), np.array([f[2] for f in found], np.float32))
+        out["split_value"] = np.append(np.zeros(n, dtype), np.array([f[2] for f in found], dtype))
         return pd.DataFrame(out)
 
-    schema = ", ".join(["id long", *(f"{c} float" for c in cols), "leaf_id long", "split_dim int", "split_value float"])
+    schema = ", ".join(["id long", *(f"{c} {kind}" for c in cols), "leaf_id long", "split_dim int", f"split_value {kind}"])
     grown = settle(points.where("not done").groupBy("node_id").applyInPandas(local, schema), "grown")
     rows = grown.where("split_dim is null").select("id", *cols, "leaf_id")
     rows = rows.unionByName(points.where("done").select("id", *cols, F.col("node_id").alias("leaf_id")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from canopy.config import Config
 from canopy.operators import build as b
-from canopy.operators import cluster, counters, diagnose, placement, search, update
+from canopy.operators import cluster, counters, density, diagnose, placement, search, update
 from canopy.sources.points import as_points
 
 
@@ -105,7 +105,7 @@ def range_multi_box(s, d):
 
 @query(f"WITH {C2} SELECT x.id AS id, count(*) AS n FROM c x JOIN c y ON sqrt((x.d0 - y.d0) * (x.d0 - y.d0) + (x.d1 - y.d1) * (x.d1 - y.d1)) <= 3 GROUP BY x.id")
 def radius_count(s, d):
-    return search.radius_pairs(_c2(s, d), 3.0).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"))
+    return density.radius_counts(_c2(s, d), 3.0)
 
 
 @query("WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), r AS (SELECT q.id AS query_id, e.id, round(list_distance(q.v, e.v), 6) AS distance, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.v, e.v), e.id) AS rank FROM e q CROSS JOIN e WHERE q.id % 50 = 0) SELECT query_id, id, distance, rank FROM r WHERE rank <= 5")
