@@ -162,7 +162,7 @@ def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from canopy.llm.sentence_pieces import encode
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode(docs, _vocabulary("piece_bpe_32k.model")).drop("text", "ids")
+    return encode(docs, _vocabulary("piece_bpe_32k.model"), whole=True).drop("text", "ids", "nbest_ids")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,6 +111,13 @@ def _encoder(model: bytes, nbest: int, whole: bool = False) -> Encoder:
     return held(("op4", model, nbest, whole), lambda: Encoder(Pieces(model), nbest, whole))
 
 
+def _nested(lists: list[list[np.ndarray]]) -> pa.ListArray:
+    """Lists of arrays of ids, with no Python object for an id."""
+    arrays = [np.zeros(0, np.int32), *(x for own in lists for x in own)]
+    inner = pa.ListArray.from_arrays(pa.array(np.cumsum([len(x) for x in arrays]).astype(np.int32)), pa.array(np.concatenate(arrays)))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(own) for own in lists])).astype(np.int32)), inner)
+
+
 def encode(docs: DataFrame, model: bytes, nbest: int = NBEST, whole: bool = False) -> DataFrame:
     """``docs`` (any columns, among them ``text``) with the pieces of each text.
 
@@ -146,7 +153,7 @@ def encode(docs: DataFrame, model: bytes, nbest: int = NBEST, whole: bool = Fals
                 pa.array([x == t.encode() for x, t in zip(decoded, texts, strict=True)]),
             ]
             if whole:
-                cols += [pa.array([[w.tolist() for w in ways] for _, _, ways in got], pa.list_(pa.list_(pa.int32()))), pa.array(sums, pa.list_(pa.int64()))]
+                cols += [_nested([ways for _, _, ways in got]), pa.array(sums, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, *new])
 
     return docs.mapInArrow(work, schema)

@@ -182,3 +182,18 @@ def test_whole_segmentations(spark, model, pieces):
         score = {tuple(ids): s for s, ids in reversed(every)}
         assert [score[tuple(x)] for x in r.nbest_ids] == r.nbest_scores and len({tuple(x) for x in r.nbest_ids}) == len(r.nbest_ids)
         assert r.nbest_crc32 == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in r.nbest_ids]
+
+
+def test_query_segments_the_n_best(spark, tmp_path, pieces):
+    """The query makes the ids of each of the n best segmentations and tells them by their checksums."""
+    from canopy.llm import queries
+    from canopy.llm.sentence_pieces import NBEST, Encoder
+
+    texts = ["the of and it", "ab cd", "", None, "mentoi a the of " * 30]
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    whole = queries._vocabulary("piece_bpe_32k.model")
+    own = Encoder(type(pieces)(whole), NBEST, True).segment_all([t or "" for t in texts])
+    got = {r.doc_id: r for r in queries.op4_sentence_pieces(spark, str(tmp_path)).collect()}
+    for i, (_, scores, ways) in enumerate(own):
+        assert got[i].nbest_crc32 == [zlib.crc32(w.astype("<u4")) for w in ways] and len(ways) == len(scores) == len(got[i].nbest_scores)
+    assert len(set(got[0].nbest_crc32)) == NBEST and len(got) == len(texts)
