@@ -14,17 +14,22 @@ that this leaves are checked on whole texts; equality of shingles rests on
 64-bit hashes.
 
 A list of the index first proposes each member with its smallest one.  After
-those are checked, it proposes all pairs that are not grouped yet.
+those are checked, it proposes pairs that are not grouped yet, of sizes that
+allow each other.  Two sets that share the shingle before, too, have met there.
+The sets of long lists are indexed again by themselves, in an order that their
+own shingles give, until that no longer halves them: similar sets that meet in
+a long list both are among those.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.functions.storage import release, settle
@@ -36,6 +41,8 @@ from canopy.operators.graph import components
 WIDTH, SEED = 5, 42
 #: Texts whose shingles are counted for the order, and common shingles that it knows; results do not depend on them.
 SAMPLE_SETS, COMMON = 16_384, 1 << 17
+#: Groups of a list beyond which its sets are indexed again, and the ratio of sizes of a class: over 5/4, so that similar sets are of one class or of neighbours.
+LONG, CLASS = 8, 1.3
 #: Hashes that a task keeps of the texts it has compared.
 KNOWN = 1 << 21
 #: Words of 64 bins whose parities tell sets apart.
@@ -219,6 +226,62 @@ def index_lists(sets: DataFrame) -> DataFrame:
     return settle(met.mapInArrow(_lists, "h long, n long, u long, set_key long, head_n long, head_u long, head long"), "met")
 
 
+def mixed(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """(h, n, u, set_key, root, before, many): the lists with sets of several groups, their number, and the list of each set before."""
+    met = lists.select("h", "n", "u", "set_key").join(roots, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+    met = settle(met, "rooted")
+    many = met.select("h", "root").distinct().groupBy("h").agg(F.count("*").alias("many")).where("many > 1")
+    # u falls from place to place of a set
+    out = met.join(many, "h").withColumn("before", F.lag("h").over(Window.partitionBy("set_key").orderBy(F.desc("u"))))
+    out = settle(out, "mixed")
+    release(met)
+    return out
+
+
+def meetings(groups: DataFrame) -> DataFrame:
+    """(m, o): the sets of two groups of a list that may be similar and have not met in the list before."""
+    names = {"root": "other", "before": "other_before", "low": "other_low", "high": "other_high", "m": "o", "size": "other_size"}
+    others = groups.select("h", *[F.col(k).alias(v) for k, v in names.items()])
+    others = others.withColumn("size", F.explode(F.array("other_size", F.col("other_size") - 1)))
+    apart = F.when(F.col("size") == F.col("other_size"), F.col("root") < F.col("other")).otherwise(F.col("root") != F.col("other"))
+    new = F.coalesce(F.col("before") != F.col("other_before"), F.lit(True))
+    return groups.join(others, ["h", "size"]).where(apart & new).where("low <= other_high and other_low <= high").select("m", "o")
+
+
+def _crossed(met: DataFrame, marks: DataFrame) -> DataFrame:
+    """(u, v): pairs of sets of different groups in a list, of those that the index and the bins leave."""
+    sized = met.join(marks.drop("n"), "set_key").withColumn("size", F.floor(F.log("n") / F.log(F.lit(CLASS))))
+    groups = sized.groupBy("h", "size", "root", "before").agg(F.min("n").alias("low"), F.max("u").alias("high"), F.collect_list(F.struct("n", "u", "set_key", *PARITIES)).alias("m"))
+    groups = settle(groups, "groups")
+    cross = meetings(groups).select(F.explode("m").alias("x"), "o").select("x", F.explode("o").alias("y"))
+    cross = cross.where("x.n <= y.u and y.n <= x.u").where(_may("x", "y")).select(*_pair("x.set_key", "y.set_key")).distinct()
+    cross = settle(cross, "crossed")
+    release(groups)
+    return cross
+
+
+def _crossings(sets: DataFrame, lists: DataFrame, roots: DataFrame, marks: DataFrame) -> list[DataFrame]:
+    """Tables (u, v) of pairs of sets of different groups that may be similar; every similar one is in one of them.  Releases ``lists``."""
+    found, todo, number = [], sets, sets.count()
+    while True:
+        met = mixed(lists, roots)
+        release(lists)
+        long = settle(met.where(F.col("many") > LONG).select("set_key").distinct(), "long")
+        rest = long.count()
+        last = not 0 < rest <= number // 2
+        found.append(_crossed(met if last else met.where(F.col("many") <= LONG), marks))
+        release(met)
+        if not last:
+            again = settle(todo.join(long, "set_key", "left_semi"), "again")
+        release(long)
+        if todo is not sets:
+            release(todo)
+        if last:
+            return found
+        todo, number = again, rest
+        lists = index_lists(todo)
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, component), a row per row of ``docs``: documents that are similar, directly or through others.
 
@@ -249,16 +312,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
     release(likely)
 
     roots = components(alike).withColumnRenamed("u", "set_key")
-    met = lists.select("h", "u", "set_key").join(roots, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
-    mixed = met.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
-    met = met.join(mixed, "h").join(marks, "set_key")
-    groups = settle(met.groupBy("h", "root").agg(F.collect_list(F.struct("n", "u", "set_key", *PARITIES)).alias("m")), "groups")
-    release(lists)
-    others = groups.select("h", F.col("root").alias("other"), F.col("m").alias("o"))
-    cross = groups.join(others, "h").where("root < other").select(F.explode("m").alias("x"), "o").select("x", F.explode("o").alias("y"))
-    cross = cross.where("x.n <= y.u and y.n <= x.u").where(_may("x", "y")).select(*_pair("x.set_key", "y.set_key")).distinct()
+    found = _crossings(sets, lists, roots, marks)
+    cross = reduce(DataFrame.unionByName, found).distinct()
     cross = settle(cross.join(pairs, ["u", "v"], "left_anti"), "cross")
-    release(groups, pairs, marks)
+    release(pairs, marks, *found)
     more = _checked(cross, sets)
     release(cross, sets)
     roots = components(alike.unionByName(more)).withColumnRenamed("u", "set_key")

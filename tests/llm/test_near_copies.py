@@ -156,3 +156,41 @@ def test_models_are_dropped_before_near_copies():
     common.held(("test",), lambda: [0])
     list(nc._prints(iter(())))
     assert not common._held
+
+
+def test_long_lists_do_not_meet_pair_by_pair(spark, monkeypatch):
+    """Passages of 15 texts each, which a sample of the texts does not know, with near copies: few of the pairs that share a list meet."""
+    monkeypatch.setattr(nc, "SAMPLE_SETS", 40)
+    rng = random.Random(5)
+    texts = []
+    for k in range(450):
+        own = [f"own{k}x{i}" for i in range(rng.randrange(30, 60))]
+        texts.append(" ".join([f"p{k % 30}x{i}" for i in range(40)] + own))
+    texts += [edited(rng, x, 1) for x in texts[:60]] + [" ".join(f"t{k}x{i}" for i in range(30)) for k in range(600)]
+    seen, settle, meetings = {"pairs": 0, "met": 0, "again": 0}, nc.settle, nc.meetings
+
+    def counted(groups):
+        out = meetings(groups)
+        seen["met"] += out.count()
+        return out
+
+    def settled(df, tag):
+        out = settle(df, tag)
+        if tag == "mixed" and not seen["pairs"]:
+            seen["pairs"] = sum(n * (n - 1) // 2 for _, n in out.select("h", "root").distinct().groupBy("h").count().collect())
+        seen["again"] += tag == "again"
+        return out
+
+    monkeypatch.setattr(nc, "meetings", counted)
+    monkeypatch.setattr(nc, "settle", settled)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = rows(nc.near_groups(df), "component", "doc_id")
+    want = partition((r, i) for i, r in enumerate(brute_groups(texts)))
+    assert partition(got) == want and len(want) < len(texts) - 40
+    assert seen["again"] and 0 < 10 * seen["met"] < seen["pairs"], seen
+
+
+def test_similar_sizes_are_of_neighbouring_classes():
+    n = np.arange(1, 100_000)
+    size = np.floor(np.log(n) / np.log(nc.CLASS))
+    assert (size[np.minimum(n * 5 // 4, len(n)) - 1] - size <= 1).all()
