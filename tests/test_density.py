@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from canopy import queries as q
-from canopy.operators import cluster, density
+from canopy.operators import cluster, density, graph
 
 from .test_index import brute_dbscan
 
@@ -104,3 +104,27 @@ def test_long_chains_of_parents(spark, monkeypatch, followed):
     assert sorted(map(tuple, got.groupBy("label").count().collect())) == [(-900, 3000), (20100, 500)]
     assert cluster.peak_labels(peaks.limit(0), 2, 6.0).isEmpty()
     assert followed == 0 or written == ["labels", "labels"]
+
+
+@pytest.mark.parametrize("links", [1 << 19, 0])
+def test_clusters_with_one_index_and_links_in_memory(spark, monkeypatch, links):
+    """Where all points are core the index of the counts serves again, and few links take no rounds; the results are those of the rounds."""
+    monkeypatch.setattr(density, "LINKS", links)
+    built, build, rounds, settle = [], density.build_exact, [], graph.settle
+    monkeypatch.setattr(density, "build_exact", lambda *a: (built.append(1), build(*a))[1])
+    monkeypatch.setattr(graph, "settle", lambda df, tag: (rounds.append(tag), settle(df, tag))[1])
+    x = np.stack([np.concatenate([np.arange(600) / 4, 500 + np.arange(300) / 4]), np.zeros(900)], 1)
+    got = cluster.dbscan(doubles(spark, x), 1.0, 2)
+    assert sorted(map(tuple, got.groupBy("kind", "cluster").count().collect())) == [("core", 0, 600), ("core", 600, 300)]
+    assert len(built) == 1 and (len(rounds) <= 2 if links else len(rounds) > 2)
+    x = np.concatenate([x, [[1000.0, 0.0], [-0.9, 0.0]]])
+    assert sorted(map(tuple, cluster.dbscan(doubles(spark, x), 1.0, 6).collect())) == brute_dbscan(x, 1.0, 6)
+
+
+def test_components_in_memory(spark):
+    rng = np.random.default_rng(4)
+    edges = [(int(a), int(a) + int(b)) for a, b in zip(rng.integers(-500, 500, 300), rng.integers(-2, 3, 300), strict=True)]
+    df = spark.createDataFrame(edges + [(10_000 + i, 10_001 + i) for i in range(400)], "u long, v long")
+    got = graph.components(df, in_memory=1 << 19)
+    assert got.dtypes == [("u", "bigint"), ("root", "bigint")]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, graph.components(df).collect()))
