@@ -214,11 +214,23 @@ def _likely(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     return settle(pairs.join(a, "u").join(b, "v").where(_may("a", "b")).select("u", "v"), "likely")
 
 
+def most_common(often: DataFrame) -> DataFrame:
+    """Rows of (h, n) with the largest n, COMMON of them at most; of equal n all or none, so that tasks need not send what others outdo."""
+    least, room = None, COMMON
+    for n, rows in sorted(map(tuple, often.groupBy("n").agg(F.count("*").alias("rows")).collect()), reverse=True):
+        room -= rows
+        if room < 0:
+            break
+        least = n
+    return often.where(F.lit(False) if least is None else F.col("n") >= least)
+
+
 def index_lists(sets: DataFrame) -> DataFrame:
     """(h, n, u, set_key, head_n, head_u, head): the lists of the prefix index that hold two plausible sets or more, with the smallest of each."""
     share = max(1, sets.count() // SAMPLE_SETS)
     drawn = sets.where(F.pmod("set_key", F.lit(share)) == 0).select("text").mapInArrow(_all_shingles, "h long")
-    often = drawn.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    often = settle(drawn.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    often = most_common(often).collect()
     common, counts = np.array([r.h for r in often], np.int64).view(np.uint64), np.array([r.n for r in often], np.int64)
     order = np.argsort(common)
     entries = sets.mapInArrow(_entries(common[order], counts[order]), "h long, n int, u int, set_key long")

@@ -194,3 +194,10 @@ def test_similar_sizes_are_of_neighbouring_classes():
     n = np.arange(1, 100_000)
     size = np.floor(np.log(n) / np.log(nc.CLASS))
     assert (size[np.minimum(n * 5 // 4, len(n)) - 1] - size <= 1).all()
+
+
+def test_most_common_takes_whole_counts_within_its_room(spark, monkeypatch):
+    often = spark.createDataFrame([(i, 2 + (i < 30) + (i < 10)) for i in range(100)], "h long, n long")
+    for room, want in ((100, 100), (99, 30), (30, 30), (29, 10), (9, 0)):
+        monkeypatch.setattr(nc, "COMMON", room)
+        assert sorted(r.h for r in nc.most_common(often).collect()) == list(range(want))
