@@ -109,13 +109,13 @@ class _Places(dict):
 
 
 class Memo:
-    """Remembers what a function gives for strings: a run of integers and some numbers each.
+    """Remembers what a function gives for strings: a run of integers and some numbers each.  Runs come as lists, or joined with their sizes as two arrays.
 
     When more than ``limit`` strings are known, or more than LETTERS characters for each of them, two thirds of that
     stay, those used most.  It only saves work; results do not depend on what is known.
     """
 
-    def __init__(self, learn: Callable[[list[str]], tuple[list, np.ndarray]], limit: int, dtype: type, extras: int = 0):
+    def __init__(self, learn: Callable[[list[str]], tuple[list | tuple[np.ndarray, np.ndarray], np.ndarray]], limit: int, dtype: type, extras: int = 0):
         self.learn, self.limit = learn, limit
         self.known, self.letters = _Places(), 0
         self.flat, self.starts, self.sizes = np.zeros(0, dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -142,8 +142,11 @@ class Memo:
             flats, sizes, extras = [self.flat], [], [self.extra]
             for at in range(0, len(new), LEARN):
                 runs, extra = self.learn(new[at : at + LEARN])
-                sizes.append(np.fromiter(map(len, runs), np.int64, len(runs)))
-                flats.append(np.fromiter(chain.from_iterable(runs), self.flat.dtype, int(sizes[-1].sum())))
+                if isinstance(runs, list):
+                    size = np.fromiter(map(len, runs), np.int64, len(runs))
+                    runs = np.fromiter(chain.from_iterable(runs), self.flat.dtype, int(size.sum())), size
+                flats.append(runs[0])
+                sizes.append(runs[1])
                 extras.append(extra)
             size = np.concatenate(sizes)
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(size) - size])

@@ -58,13 +58,9 @@ class Encoder:
 
     def __init__(self, pieces: Pieces, nbest: int = NBEST, whole: bool = False):
         self.pieces, self.nbest, self.whole = pieces, nbest, whole
-        self.memo = Memo(self._learn, CACHE, np.int32, 2)
+        self.memo = Memo(pieces.best_two_all, CACHE, np.int32, 2)
         self.found: dict[str, tuple[list[float], list[np.ndarray]]] = {}
 
-    def _learn(self, new: list[str]) -> tuple[list, np.ndarray]:
-        got = list(map(self.pieces.best_two, new))
-        return [g[0] for g in got], np.array([[g[1] for g in got], [g[2] for g in got]])
-
     def _searched(self, cell: str) -> tuple[list[float], list[np.ndarray]]:
         """How much worse each of the n best segmentations of a cell is than the best, and their ids, from the backward search."""
         got = self.found.get(cell)
