@@ -49,6 +49,11 @@ def forget() -> None:
     if _held:
         _held.clear()
         gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Give freed memory back to the system, and keep the model."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:

@@ -57,7 +57,7 @@ class Trie:
                 taken[at - first + c] = 1
                 top = max(top, at - first + c)
         slot = {"": 0} | {x: base[x[:-1]] + code[x[-1]] for x in nodes}
-        self.code = np.zeros(0x110000, np.int32)
+        self.code = np.zeros(max(map(ord, code), default=0) + 2, np.int32)  # the last place is for all characters behind it
         self.code[[ord(c) for c in code]] = list(code.values())
         size = len(taken) + len(code)
         self.base, self.owner, self.ids = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
@@ -68,6 +68,9 @@ class Trie:
             self.scores[slot[w]], self.ids[slot[w]] = score, i
         self.depth = max(map(len, pieces), default=0)
 
+    def codes(self, chars: np.ndarray) -> np.ndarray:
+        return self.code[np.minimum(chars, len(self.code) - 1)]
+
 
 class Pieces:
     """Pieces, scores and byte pieces of a SentencePiece file."""
@@ -220,7 +223,7 @@ class Pieces:
         row = np.arange(len(chars)) - np.repeat(np.cumsum(lens) - lens, lens)
         # a row for each place of a character, a column for each cell
         text, codes, there = np.zeros((rows, m), np.uint32), np.zeros((rows, m), np.int32), np.zeros((rows, m), bool)
-        text[row, column], codes[row, column], there[row, column] = chars, trie.code[chars], True
+        text[row, column], codes[row, column], there[row, column] = chars, trie.codes(chars), True
         codes, at = codes.ravel(), np.flatnonzero(there)
         state = codes[at]
         state = np.where(trie.owner[state] == 0, state, 0)

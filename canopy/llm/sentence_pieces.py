@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from canopy.llm.common import Memo, column, held, slices, small_batches, with_fields
+from canopy.llm.common import Memo, column, give_back, held, slices, small_batches, with_fields
 from canopy.llm.pieces import Pieces
 
 #: Segmentations of a text that are scored.
@@ -151,6 +151,9 @@ def encode(docs: DataFrame, model: bytes, nbest: int = NBEST, whole: bool = Fals
             if whole:
                 cols += [_nested([ways for _, _, ways in got]), pa.array(sums, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, *new])
+        # the worker may wait for long, and what the last slice has left counts against its executor
+        texts = got = decoded = flat = cols = b = None
+        give_back()
 
     return docs.mapInArrow(work, schema)
 

@@ -233,7 +233,7 @@ def test_trie_holds_any_pieces():
             for probe in [letters[0] + w for w in words] + ["".join(rng.choice(letters + "z") for _ in range(rng.randrange(1, 7))) for _ in range(300)]:
                 at = 0
                 for c in probe:
-                    child = trie.base[at] + trie.code[ord(c)]
+                    child = trie.base[at] + trie.codes(np.array(ord(c)))
                     at = child if at >= 0 and trie.owner[child] == at else -1
                     if at < 0:
                         break
